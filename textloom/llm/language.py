@@ -1,7 +1,6 @@
 """Language of each document and line: rank-order n-gram profiles, out-of-place distance.
 
-A language's profile is its most frequent n-grams of one to three letters (word ends
-included) in rank order.  A line's own n-grams are ranked the same way, and its distance to
+A language's profile is its most frequent three-letter n-grams (word ends included) in rank order.  A line's own n-grams are ranked the same way, and its distance to
 a language is the sum of how far each n-gram is out of place, with a fixed penalty for one
 that the profile lacks.  N-grams in no profile cost every language the same and are left
 out of the ranking.  The arithmetic runs over whole Arrow batches in numpy.
@@ -9,7 +8,7 @@ out of the ranking.  The arithmetic runs over whole Arrow batches in numpy.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,19 +29,24 @@ LANGUAGES = {
 }
 ALIASES = {alias: code for code, aliases in LANGUAGES.items() for alias in aliases}
 
-PROFILE_SIZE = 400
+PROFILE_SIZE = 1500
 PROFILE_ROWS = 400  # labelled documents per language that a profile is fitted on (expected number)
-CHUNK = 512
+CHUNK = 256  # lines measured at once
 BITS = 6  # of a letter's code
-MIN_LETTERS = 3
-FAR = 0.72  # share of the greatest distance beyond which a line has no words of a language
-DOUBT = 0.12  # relative margin below which a line's neighbours in its document are asked
+GRAMS = 1 << 3 * BITS
+END = 255  # code of a line's end
+FAR = 0.80  # share of the greatest distance beyond which a line has no words of a language
+DOUBT = 0.12  # relative margin below which the other lines of the document are asked
 SHORT_LETTERS = 40
 
+# Markup, entities, control sequences and words with digits are no words of a language.
+NO_WORDS = re.compile(r"<[^<>]{0,200}>|&#?\w{1,8};|\[[A-Z_]+\]|\x1b\[[0-9;]*[A-Za-z]|\b\w*\d\w*\b|(?:https?://|www\.)\S+|\S+@\S+")
+WORD = re.compile(r"[^\W\d_]{2,}")
+
 
 def _alphabet() -> np.ndarray:
-    """Code of each character below U+0250: 0 for what isn't a letter, 1..63 for letters."""
-    table = np.zeros(0x252, dtype=np.int32)
+    """Code of each UTF-16 unit: 0 for what isn't a letter, 1..62 for Latin letters, 63 for others below U+0250."""
+    table = np.zeros(1 << 16, dtype=np.uint8)
     codes: dict[str, int] = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz", 1)}
     other = 63
     for point in range(0x250):
@@ -52,70 +56,58 @@ def _alphabet() -> np.ndarray:
         if c not in codes and point >= 0xC0 and len(codes) < other - 1:
             codes[c] = len(codes) + 1
         table[point] = codes.get(c, other)
+    table[10] = END
     return table
 
 
 ALPHABET = _alphabet()
 
 
-def encode_lines(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all lines, each run of other signs one 0, and the line of each code."""
+def encode_lines(lines: list[str]) -> np.ndarray:
+    """Letter codes of the lines, each run of other signs one 0, each line ended by ``END``."""
     text = "\n".join(lines).lower() + "\n"
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    # lower() may lengthen a text, so lines are told apart by the newlines that end them
-    line = np.cumsum(points == 10, dtype=np.int32)
-    line[1:] = line[:-1]
-    line[:1] = 0
-    codes = ALPHABET[np.minimum(points, 0x251)]
-    keep = (codes > 0) | np.r_[True, codes[:-1] > 0] | (points == 10)
-    return codes[keep], line[keep]
-
+    codes = ALPHABET[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)]
+    space = codes == 0
+    return codes[np.r_[True, ~(space[1:] & space[:-1])]]
 
-def grams(codes: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(line, gram) of each n-gram within a line; a gram is a number that holds its letters and length.
-
-    A 0 may only stand at the ends of a gram (a word's end).
-    """
-    yield line[codes > 0], codes[codes > 0]
-    before = np.r_[0, codes[:-1]]  # a line begins as after a space
-    ok = (codes > 0) | (before > 0)
-    yield line[ok], ((1 << 18) | (before << BITS) | codes)[ok]
-    two = np.r_[0, before[:-1]]
-    ok = (before > 0) & ((codes > 0) | (two > 0))
-    yield line[ok], ((1 << 19) | (two << 2 * BITS) | (before << BITS) | codes)[ok]
 
-
-GRAMS = 1 << 20
+def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams (middle one a letter; a 0 is a word's end), the line of each, and letters per line."""
+    end = codes == END
+    line = np.cumsum(end, dtype=np.int32)  # of the place after
+    x = np.where(end, 0, codes).astype(np.int32)
+    at = np.flatnonzero(x[1:-1] > 0)
+    gram = (x[at] << 2 * BITS) | (x[at + 1] << BITS) | x[at + 2]
+    return gram, line[at + 1], np.bincount(line[1:-1][x[1:-1] > 0], minlength=int(line[-1]))
 
 
 @dataclass
 class Profiles:
     languages: list[str]
     feature: np.ndarray  # gram -> feature or -1
-    rank: np.ndarray  # language x feature: rank, or PROFILE_SIZE where the profile lacks it
+    rank: np.ndarray  # feature x language: rank, or PROFILE_SIZE where the profile lacks it
 
     @property
     def n_features(self) -> int:
-        return self.rank.shape[1]
+        return self.rank.shape[0]
 
 
 def fit_profiles(texts: Iterable[tuple[str, str]], size: int = PROFILE_SIZE) -> Profiles:
     """Profiles of (language, text) samples; ties in frequency go by gram."""
-    counts: dict[str, np.ndarray] = {}
+    samples: dict[str, list[str]] = {}
     for language, text in texts:
-        total = counts.setdefault(language, np.zeros(GRAMS, dtype=np.int64))
-        codes, line = encode_lines(text.split("\n"))
-        for _, g in grams(codes, line):
-            total += np.bincount(g, minlength=GRAMS)
-    languages = sorted(counts)
-    tops = [np.lexsort((np.arange(GRAMS), -counts[x]))[:size] for x in languages]
-    tops = [t[counts[x][t] > 0] for x, t in zip(languages, tops)]
+        samples.setdefault(language, []).append(text)
+    languages, tops = sorted(samples), []
+    for language in languages:
+        count = np.bincount(grams(np.r_[np.uint8(0), encode_lines("\n".join(samples[language]).split("\n"))])[0], minlength=GRAMS)
+        top = np.argsort(-count, kind="stable")[:size]
+        tops.append(top[count[top] > 0])
     features = np.unique(np.concatenate(tops)) if tops else np.empty(0, dtype=np.int64)
     feature = np.full(GRAMS, -1, dtype=np.int32)
     feature[features] = np.arange(len(features))
-    rank = np.full((len(languages), len(features)), size, dtype=np.int32)
+    rank = np.full((len(features), len(languages)), size, dtype=np.int16)
     for i, top in enumerate(tops):
-        rank[i, feature[top]] = np.arange(len(top))
+        rank[feature[top], i] = np.arange(len(top))
     return Profiles(languages, feature, rank)
 
 
@@ -124,36 +116,44 @@ def distances(lines: list[str], profiles: Profiles) -> tuple[np.ndarray, np.ndar
     n, m, size = len(lines), profiles.n_features, PROFILE_SIZE
     out, letters, used = np.ones((n, len(profiles.languages))), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for at in range(0, n, CHUNK):
-        part = lines[at : at + CHUNK]
-        codes, line = encode_lines(part)
-        k = len(part)
-        letters[at : at + k] = np.bincount(line[codes > 0], minlength=k)
-        table = np.zeros(k * m, dtype=np.int32)
-        for where, gram in grams(codes, line):
-            f = profiles.feature[gram]
-            ok = f >= 0
-            table += np.bincount(where[ok].astype(np.int64) * m + f[ok], minlength=k * m).astype(np.int32)
-        cell = np.flatnonzero(table)
-        if not len(cell):
+        k = len(lines[at : at + CHUNK])
+        gram, line, many_letters = grams(np.r_[np.uint8(0), encode_lines(lines[at : at + CHUNK])])
+        letters[at : at + k] = many_letters[:k]
+        f = profiles.feature[gram]
+        known = f >= 0
+        key = line[known] * m + f[known]
+        if not len(key):
             continue
-        row, f = cell // m, cell % m
-        # rank within the line: by falling count, ties by gram
-        key = (row << 40) | ((1 << 24) - 1 - np.minimum(table[cell], (1 << 24) - 1)).astype(np.int64) << 16 | f
         key.sort()
-        row, f = key >> 40, key & 0xFFFF
-        starts = np.searchsorted(row, np.arange(k))
-        r = np.arange(len(row)) - starts[row]
-        many = np.bincount(row, minlength=k)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[new, len(key)])
+        row = key[new] // m
+        # rank within the line: by falling count, ties by gram
+        order = (row.astype(np.int64) << 32) | ((0xFFFF - np.minimum(count, 0xFFFF)) << 16) | (key[new] - row * m)
+        order.sort()
+        row, f = order >> 32, order & 0xFFFF
+        start = np.searchsorted(row, np.arange(k + 1))
+        place = (np.minimum(np.arange(len(row)) - start[row], size)).astype(np.int16)
+        rank = profiles.rank[f]
+        off = np.abs(rank - place[:, None])
+        off[rank >= size] = size
+        many = np.diff(start)
+        filled = np.flatnonzero(many)
+        total = np.add.reduceat(off, start[:-1][filled], axis=0, dtype=np.int64)
+        out[at + filled] = total / (many[filled] * size)[:, None]
         used[at : at + k] = many
-        for i in range(len(profiles.languages)):
-            lang_rank = profiles.rank[i, f]
-            off = np.where(lang_rank >= size, size, np.minimum(np.abs(lang_rank - r), size))
-            out[at : at + k, i] = np.bincount(row, weights=off, minlength=k) / np.maximum(many * size, 1)
     return out, letters, used
 
 
-def _words(line: str) -> bool:
-    return any(c.isalpha() for c in line)
+def has_words(line: str) -> bool:
+    """Whether a line has words of a language: two words, or one long one, besides markup, numbers and addresses."""
+    words = WORD.findall(line)
+    if not words:
+        return False
+    if len(words) >= 4 and "<" not in line and "&" not in line and "[" not in line:
+        return True
+    words = WORD.findall(NO_WORDS.sub(" ", line))
+    return len(words) >= 2 or (len(words) == 1 and len(words[0]) >= 12)
 
 
 def label_language(label: F.Column) -> F.Column:
@@ -175,7 +175,7 @@ def classify_document(dist: np.ndarray, letters: np.ndarray, used: np.ndarray) -
     best, first = order[:, 0], dist[np.arange(n), order[:, 0]]
     second = dist[np.arange(n), order[:, 1]] if dist.shape[1] > 1 else np.ones(n)
     margin = (second - first) / np.maximum(second, 1e-9)
-    valid = (letters >= MIN_LETTERS) & (used > 0) & (first < FAR)
+    valid = (used > 0) & (first < FAR)
     clear = valid & (margin >= DOUBT) & (letters >= SHORT_LETTERS)
     best = best.copy()
     if clear.any():
@@ -203,7 +203,7 @@ def _classify(profiles: Profiles) -> Callable[[Iterable[pa.RecordBatch]], Iterat
                 keys, labels = part.column(0).to_pylist(), part.column(1).to_pylist()
                 docs = [(b or b"").decode("utf-8", "replace").split("\n") for b in part.column(2).to_pylist()]
                 # only lines with letters are measured
-                where = [[i for i, x in enumerate(lines) if _words(x)] for lines in docs]
+                where = [[i for i, x in enumerate(lines) if has_words(x)] for lines in docs]
                 flat = [lines[i] for lines, w in zip(docs, where) for i in w]
                 dist, letters, used = distances(flat, profiles) if names else (np.ones((len(flat), 1)),) + (np.zeros(len(flat), dtype=np.int64),) * 2
                 rows: list[tuple] = []

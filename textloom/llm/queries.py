@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import cooccurrence, language, packing, repeated_lines, tokenizer
-from textloom.runtime import load
+from textloom.llm import cooccurrence, language, near_duplicates, packing, reading_level, repeated_lines, tokenizer, wrapper
+from textloom.runtime import cut_lineage, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,6 +61,48 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("kind").alias("item_kind"), "item_1", "item_2", "n12", "n1", "n2", "n", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
+# ---- 2: near-duplicate records
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = cut_lineage(wrapper.main_text(load(spark, d, "articles")).select("document_id", "text"))
+    return near_duplicates.near_duplicates(texts, record="document_id", text="text")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = near_duplicates.linked_records(*_near(spark, d))
+    return pairs.select(F.col("id_1").alias("document_id_1"), F.col("id_2").alias("document_id_2"))
+
+
+@query("p2_classes")
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.classes_with_links(*_near(spark, d)).withColumnRenamed("id", "document_id")
+
+
+# ---- 3: page boilerplate
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrapper.label_lines(load(spark, d, "articles")).filter("furniture").select("document_id", "line_no")
+
+
+@query("p3_main_text")
+def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return wrapper.main_text(load(spark, d, "articles"))
+
+
+# ---- 4: reading level
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = cut_lineage(wrapper.main_text(load(spark, d, "articles")).select("document_id", "text"))
+    levels = reading_level.reading_levels(texts, load(spark, d, "reading_labels"), record="document_id", text="text")
+    return levels.select(F.col("id").alias("document_id"), "band")
+
+
 # ---- 5: lines repeated across one site's documents
 
 _P5 = r"""

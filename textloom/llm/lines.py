@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE = r"(?U)[\s​﻿]+"
+SPACE = r"(?U)\s+"
 
 
 def site_of(url) -> F.Column:

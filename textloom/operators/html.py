@@ -28,7 +28,7 @@ FRAME_TAGS = frozenset("nav footer header aside form".split())
 FRAME_NAMES = re.compile(r"(?i)\b(?:share|social|reactions?|comments?|signup|newsletter|pagination|breadcrumbs?|sidebar|related|cookie|menu|nav|footer|promo)\b")
 ROOT_NAMES = re.compile(r"(?i)article|post|entry|blog|page-content|content-pages")
 STOP_LINE = re.compile(r"(?i)^(?:do you like this (?:page|post)\??|showing \d+ reactions?|sign in with\b|related (?:posts|articles)|share this (?:page|post))")
-META_LINE = re.compile(r"(?i)^(?:posted by\b|published (?:on|at)\b|tags?:|filed under\b)")
+META_LINE = re.compile(r"(?i)^(?:posted by\b|published (?:on|at)\b|tags?:|filed under\b|[a-z]+ \d{1,2}, \d{4}$|\d{1,2} [a-z]+ \d{4}$)")
 
 IMAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "alt_text", "title_text", "figcaption", "caption_source", "image_role", "source_location")])
 ARTICLE = T.StructType(
@@ -138,7 +138,8 @@ def _title(root: Node) -> str:
         heads = [(any(a.tag in ("main", "article") for a in n.ancestors()), n.tag == "h1", n.text()) for n in root.find("h1", "h2")]
         heads = [h for h in heads if h[2]]
         value = max(heads, key=lambda h: (h[1], h[0]))[2] if heads else next((n.text() for n in root.find("title") if n.text()), "")
-    return re.sub(r"\s+[-|–]\s+[^-|–]{1,40}$", "", " ".join(value.split())) if value else ""
+    value, site = " ".join((value or "").split()), _meta(root, "og:site_name")
+    return re.sub(rf"(?i)\s+[-|–]\s+{re.escape(site)}$", "", value) if site else value
 
 
 def _jsonld(root: Node) -> dict[str, object]:
@@ -275,7 +276,7 @@ def _images(page: Node, root: Node, base: str) -> list[dict[str, str | None]]:
         figure = next((a for a in img.ancestors() if a.tag == "figure"), None)
         cap, where = (next((n.text() for n in figure.find("figcaption")), None), "figcaption") if figure else (None, None)
         if not cap and img.parent is not None and img.parent.tag in ("p", "div") and 0 < len(img.parent.text().split()) <= 25:
-            cap, where = img.parent.text(), "same_block"
+            cap, where = img.parent.text(), "inline_parent_text"
         url = urljoin(base, raw).split("#")[0]
         inline = {"url": url, "alt_text": img.attrs.get("alt") or None, "title_text": img.attrs.get("title") or None, "figcaption": cap or None, "caption_source": where if cap else None, "image_role": "inline", "source_location": "body"}
         out[url] = {**out.get(url, blank), **{k: v for k, v in inline.items() if v is not None}}
@@ -295,8 +296,8 @@ def article(html: str | None, url: str | None, min_words: int = 0) -> dict[str,
         tag_links = [n.text() for n in page.find("a") if "/tags/" in n.attrs.get("href", "")]
         tags = sorted({t for t in tag_links if t})
         if main is not None:
-            root, selector = main, "intro > .content"
-            blocks = max((_blocks(root, title, set(tags)), _lines(root, title, set(tags))), key=lambda b: (_words(b), len(b)))
+            root, selector = main, "main#content #intro > .content"
+            blocks = _blocks(root, title, set(tags)) or _lines(root, title, set(tags))
         else:
             scored = []
             for r in _roots(page, title):
@@ -305,7 +306,7 @@ def article(html: str | None, url: str | None, min_words: int = 0) -> dict[str,
             if not scored:
                 raise ValueError("no content")
             _, _, _, root, blocks = max(scored, key=lambda s: (s[0], s[1], -s[2]))
-            selector = "scored root"
+            selector = "fallback_scored_root"
         if _words(blocks) < max(min_words, 1) and extra.get("paragraphs"):
             blocks = extra["paragraphs"]
         if _words(blocks) < min_words:

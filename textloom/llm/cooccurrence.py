@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.runtime import cut_lineage
+
 ENTRIES_IN_MEMORY = 400_000  # neighbours a task holds before it hands its stripes on
 STRIPE_ROW = 4_096  # neighbours in one emitted part of a stripe
 STRIPE = "kind string, item string, neighbours map<string,bigint>"
@@ -94,7 +96,7 @@ def cooccurrence(records: DataFrame) -> DataFrame:
     ``records(kind, record, items)``: one row per record with its distinct items.  An empty table
     gives no rows; records of one item count in n and n1 only.
     """
-    counts = merged(stripes(records))
+    counts = cut_lineage(merged(stripes(records)))  # read four times below, made once
     single = counts.filter("item_1 = item_2 and item_1 <> ''").select("kind", F.col("item_1").alias("item"), F.col("n").alias("m"))
     total = counts.filter("item_1 = ''").select("kind", F.col("n").alias("total"))
     pairs = counts.filter("item_1 < item_2 and item_1 <> ''").select("kind", "item_1", "item_2", F.col("n").alias("n12"))

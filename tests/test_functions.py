@@ -93,3 +93,15 @@ def test_benjamini_hochberg(spark):
 def test_adjusted_rand(spark):
     df = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 0)], "a int, b int")
     assert stats.adjusted_rand(df, "a", "b").first().ari == 1.0
+
+
+def test_exact_median(spark):
+    import random
+    import statistics
+
+    rng = random.Random(1)
+    for n in (1, 2, 501, 1000):
+        v = [rng.choice([rng.gauss(0, 1), 7.0, -1e6]) for _ in range(n)]
+        df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double")
+        assert stats.exact_median(df, "v", bins=8, small=20) == statistics.median(v)
+    assert stats.exact_median(spark.createDataFrame([], "v double"), "v") is None

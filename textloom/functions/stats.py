@@ -115,3 +115,38 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     expected = F.col("sa") * F.col("sb") / total
     most = (F.col("sa") + F.col("sb")) / 2
     return one.select(F.coalesce(F.try_divide(F.col("s") - expected, most - expected), F.lit(1.0)).alias("ari"), F.col("n").cast("bigint").alias("n"))
+
+
+def exact_median(df: DataFrame, value: str, *, bins: int = 4096, small: int = 10_000) -> float | None:
+    """The median (mean of the middle two), exactly, without gathering the values.
+
+    Each pass counts the rows in ``bins`` equal bins of the interval that holds the middle and
+    goes on with that bin; at most ``small`` distinct values are read in the end.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    first = rows.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n, whole = first["n"], (first["lo"], first["hi"])
+    if not n:
+        return None
+
+    def at_rank(rank: int) -> float:
+        (lo, hi), below = whole, 0
+        while lo < hi:
+            inside = rows.filter((F.col("v") >= lo) & (F.col("v") <= hi))
+            found = inside.select("v").distinct().limit(small + 1).count()
+            if found <= small:
+                for r in inside.groupBy("v").agg(F.count("*").alias("c")).orderBy("v").collect():
+                    below += r["c"]
+                    if below > rank:
+                        return r["v"]
+            b = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / ((hi - lo) / bins)).cast("int"))
+            for r in inside.groupBy(b.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("b").collect():
+                if below + r["c"] > rank:
+                    lo, hi = r["a"], r["z"]
+                    break
+                below += r["c"]
+        return lo
+
+    middle = (n - 1) // 2
+    a = at_rank(middle)
+    return a if n % 2 else (a + at_rank(middle + 1)) / 2

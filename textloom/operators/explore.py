@@ -92,14 +92,17 @@ def histogram(df: DataFrame, *, value: str, bins: int) -> DataFrame:
 
 def median_quadrants(df: DataFrame, *, x: str, y: str) -> DataFrame:
     """``quadrant, n`` by the exact medians of two measures; a value at the median counts as high."""
-    m = df.agg(F.expr(f"percentile({x}, 0.5)").alias("mx"), F.expr(f"percentile({y}, 0.5)").alias("my")).withColumn("_k", F.lit(1))
-    rows = df.withColumn("_k", F.lit(1)).join(F.broadcast(m), "_k").filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    side = F.concat(F.when(F.col(x) >= F.col("mx"), "high_").otherwise("low_"), F.when(F.col(y) >= F.col("my"), "high").otherwise("low"))
+    mx, my = stats.exact_median(df, x), stats.exact_median(df, y)
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    side = F.concat(F.when(F.col(x) >= F.lit(mx), "high_").otherwise("low_"), F.when(F.col(y) >= F.lit(my), "high").otherwise("low"))
     return rows.groupBy(side.alias("quadrant")).agg(F.count("*").alias("n"))
 
 
 def systematic_sample(df: DataFrame, *, key: str, target: int = 1800) -> DataFrame:
-    """Every k-th row by rank of a hash-free key order within blocks, about ``target`` rows; all rows where fewer."""
+    """Every k-th row by its number ``key``, about ``target`` rows; all rows where there are fewer.
+
+    ``key`` is a dense row number, so no global ranking (a sort in one task) takes place.
+    """
     n = df.count()
     step = -(-n // target) if n > target else 1
     return df.filter(F.pmod(F.col(key), F.lit(step)) == 0)

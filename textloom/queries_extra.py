@@ -79,8 +79,8 @@ d2 as (select doc_id, toks from d), a as (select doc_id, toks, i, toks[i] as nod
 w as (select doc_id, node, unnest(list_filter(list_concat(toks[greatest(i - 5, 1):i - 1], toks[i + 1:i + 5]), lambda x: length(x) > 1)) as collocate from a),
 p as (select node, collocate, count(*) as f from w group by 1, 2 having count(*) >= 5), tt as (select unnest(toks) as t from d2), cnt as (select t, count(*) as f from tt group by t),
 ct as (select collocate as form, 2 as src, row_number() over (order by round(14 + log2(2.0 * p.f / (cn.f + cc.f)), 6) desc, p.f desc, node, collocate) as rank from p join cnt cn on cn.t = node join cnt cc on cc.t = collocate),
-q as (select * from kt where rank <= 100 union all select * from ct where rank <= 100), r as (select *, row_number() over (partition by form order by src, rank) as r from q)
-select form, case src when 1 then 'keyness' else 'collocation' end as source_table, cast(rank as integer) as rank, 'unreviewed_candidate' as validation_status from r where r = 1""")
+q as (select * from kt where rank <= 100 union all select * from ct where rank <= 100), fin as (select *, row_number() over (partition by form order by src, rank) as r from q)
+select form, case src when 1 then 'keyness' else 'collocation' end as source_table, cast(rank as integer) as rank, 'unreviewed_candidate' as validation_status from fin where r = 1""")
 def candidate_queue(spark: SparkSession, d: str) -> DataFrame:
     """Forms from two tables, keyness rows first; a form keeps its first row."""
     k = _keyness(spark, d).filter("log_ratio > 0").select(F.col("term").alias("form"), F.round("log_ratio", 6).alias("a"), F.round("log_likelihood", 4).alias("b"))

@@ -3,12 +3,36 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's source to the Python workers, once per application.
+
+    Workers then find it wherever the driver was started and whether or not it is installed on
+    the executors.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="textloom-package-"), "textloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -33,6 +57,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     reads take only the columns they need.  The tables go when the driver's process ends.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{ensure_checkpoint_dir(spark)}/textloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
@@ -55,4 +80,5 @@ atexit.register(drop_written)
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory, as a lazily planned scan."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

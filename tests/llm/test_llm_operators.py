@@ -213,6 +213,15 @@ def test_furniture_lines(spark):
     assert wrapper.label_lines(df.limit(0)).count() == 0 and wrapper.main_text(df.limit(0)).count() == 0
 
 
+def test_templates_of_a_small_host_in_a_large_corpus(spark):
+    rows = [("small.example", 0, [(0, 1)])] * 10 + [("large.example", 0, [(0, 2)])] * 200 + [("large.example", 0, [(0, 3)])] * 7
+    lines = spark.createDataFrame(rows, "site string, zone int, candidates array<struct<level:int,tid:bigint>>")
+    for large in (1_000, 400_000):
+        sites = spark.createDataFrame([("small.example", 20), ("large.example", large)], "site string, pages long")
+        got = {r.tid: r for r in wrapper.templates(lines, sites).collect()}
+        assert set(got) == {1, 2} and got[1].total == 10 and got[1].furniture
+
+
 # ---- reading level
 
 

@@ -131,7 +131,10 @@ def aligned_pages(articles: DataFrame, *, record: str = "document_id", url: str
 
 
 def templates(lines: DataFrame, sites: DataFrame) -> DataFrame:
-    """``level, tid, total, inside, variation, share, furniture, frame, sure`` of all templates with enough support."""
+    """``level, tid, total, inside, variation, share, furniture, frame, sure`` of all templates with enough support.
+
+    The support does not grow with the corpus: a template that a host had stays when other hosts are added.
+    """
     size = sites.agg(F.sum("pages").alias("pages"), F.count("*").alias("sites")).first()
     pages, n_sites = size["pages"] or 0, size["sites"] or 0
     seen = lines.select("site", "zone", F.explode("candidates").alias("c")).select("site", "zone", "c.level", "c.tid")
@@ -139,7 +142,7 @@ def templates(lines: DataFrame, sites: DataFrame) -> DataFrame:
     by_site = by_site.join(sites, "site")
     o, p = F.col("o").cast("double"), F.col("pages").cast("double")
     stats = by_site.groupBy("level", "tid").agg(F.sum("o").alias("total"), F.sum("i").alias("i"), F.sum(o * o / p).alias("q"), F.max(o / p).alias("share"))
-    stats = stats.filter(F.col("total") >= max(MIN_PAGES, pages / 5000))
+    stats = stats.filter(F.col("total") >= MIN_PAGES)
     total = F.col("total").cast("double")
     variation = F.lit(float(pages)) * F.col("q") / (total * total) - 1 - F.lit(float(max(n_sites - 1, 0))) / total
     inside = F.col("i") / total

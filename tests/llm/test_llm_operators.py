@@ -65,6 +65,15 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_occurrences(df.limit(0)).count() == 0
 
 
+def test_long_frequent_sequences_are_whole(spark):
+    foot = [f"foot {chr(97 + k)}" for k in range(10)]
+    rows = [(f"d{i}", f"http://a.example/{i}", "\n".join([f"only {chr(97 + i)}", *foot]), None) for i in range(8)]
+    rows += [(f"s{i}", f"http://a.example/s{i}", "\n".join(foot[:3]), None) for i in range(2)]
+    got = sorted((r.length, r.documents, r.occurrences) for r in repeated_lines.frequent_sequences(articles(spark, rows)).collect())
+    assert got == sorted((k, n, n) for k in range(1, 11) for n in [10 if s + k <= 3 else 8 for s in range(11 - k)])
+    assert repeated_lines.frequent_sequences(articles(spark, rows).limit(0)).count() == 0
+
+
 # ---- tokenizer
 
 

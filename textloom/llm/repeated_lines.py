@@ -47,24 +47,30 @@ def repeated_occurrences(articles: DataFrame, *, min_documents: int = 8, **colum
     return lines.join(frequent, "id").select("document_id", (F.col("at") + 1).alias("line_no"), "id", "documents")
 
 
-def frequent_sequences(articles: DataFrame, *, min_documents: int = 8, max_length: int = 6, **columns: str) -> DataFrame:
+def frequent_sequences(articles: DataFrame, *, min_documents: int = 8, max_length: int | None = None, **columns: str) -> DataFrame:
     """``length, pattern, documents, occurrences``: frequent sequences of ``length`` lines, 1 included.
 
-    ``pattern`` is the list of line identifiers.  Growth ends at ``max_length``.
+    ``pattern`` is the list of line identifiers, adjacent among the frequent lines of a document; sequences
+    with gaps are not mined.  Growth ends with the first level that has no survivor, or at ``max_length``.
     """
     found = repeated_occurrences(articles, min_documents=min_documents, **columns)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "id"))), lambda x: x["id"])
     database = cut_lineage(found.groupBy("document_id").agg(ordered.alias("seq")))
-    occurrences = database.select("document_id", "seq", F.posexplode("seq").alias("start", "first")).select("document_id", "seq", "start")
-    levels = []
-    for length in range(1, max_length + 1):
-        grown = occurrences.filter(F.col("start") + length <= F.size("seq"))
-        grown = grown.withColumn("pattern", F.slice("seq", F.col("start") + 1, length))
+    # An occurrence is the rest of its document's sequence from where it starts, as far as it may still grow.
+    starts = F.transform("seq", lambda x, i: F.slice("seq", i + 1, F.size("seq") - i))
+    occurrences = database.select("document_id", F.explode(starts).alias("rest"))
+    levels: list[DataFrame] = []
+    while max_length is None or len(levels) < max_length:
+        length = len(levels) + 1
+        grown = occurrences.withColumn("pattern", F.slice("rest", 1, length))
         per_document = grown.groupBy("pattern", "document_id").agg(F.count("*").alias("n"))
         level = per_document.groupBy("pattern").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences")).filter(F.col("documents") >= min_documents)
         level = cut_lineage(level)
+        if levels and level.isEmpty():
+            break
         levels.append(level.select(F.lit(length).alias("length"), "pattern", "documents", "occurrences"))
-        occurrences = grown.join(level.select("pattern"), "pattern", "left_semi").select("document_id", "seq", "start")
+        longer = grown.filter(F.size("rest") > length)
+        occurrences = cut_lineage(longer.join(level.select("pattern"), "pattern", "left_semi").select("document_id", "rest"))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

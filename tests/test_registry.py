@@ -36,3 +36,10 @@ def same_rows(spark, sf, queries, sql, name):
 @pytest.mark.parametrize("name", sorted(queries_core.SQL))
 def test_same_rows_as_sql(spark, sf, name):
     same_rows(spark, sf, queries_core.QUERIES, queries_core.SQL, name)
+
+
+def test_every_frame_is_counted_by_document(spark, sf):
+    rows = spark.read.parquet(f"{sf}/frame_candidates.parquet").select("document_id", "sentence_id", "frame").collect()
+    kept = {(r.document_id, r.sentence_id, r.frame.strip(" ").lower()) for r in rows if (r.frame or "").strip(" ")}
+    got = {(r.document_id, r.frame): r.n_sentences for r in queries_core.QUERIES["frame_counts_by_document_and_frame"](spark, sf).collect()}
+    assert {f for _, f in got} == {f for *_, f in kept} and sum(got.values()) == len(kept)

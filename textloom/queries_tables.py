@@ -230,6 +230,13 @@ def frame_counts_by_document(spark: SparkSession, d: str) -> DataFrame:
     return discourse.category_counts(f, category="frame", values=_FRAMES, prefix="frame")
 
 
+@query("frame_counts_by_document_and_frame", f"with f as ({_FRAME}) select document_id, frame, count(*) as n_sentences from f group by document_id, frame")
+def frame_counts_by_document_and_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Every frame of every document as rows; ``frame_counts_by_document`` has columns for ``_FRAMES`` only."""
+    f = load(spark, d, "frame_candidates").filter(F.trim("frame") != "").select("document_id", "sentence_id", F.lower(F.trim("frame")).alias("frame")).distinct()
+    return f.groupBy("document_id", "frame").agg(F.count("*").alias("n_sentences"))
+
+
 @query("frame_rates_by_month", f"""with f as ({_FRAME}), a as (select document_id, min(case when regexp_matches(published_at, '^\\d{{4}}-\\d{{2}}') then substr(published_at, 1, 7) end) as p, min(word_count) as w from articles group by document_id),
 c as (select p, frame, count(*) as n from f left join a using (document_id) group by 1, 2), d as (select p as q, count(*) as docs, sum(w) as words from a group by 1)
 select p as period, frame as category, n, round(coalesce(n * 100.0 / nullif(docs, 0), 0), 6) as per_100, round(coalesce(n * 10000.0 / nullif(words, 0), 0), 6) as per_10k from c left join d on c.p is not distinct from d.q""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import stats, text, urls
-from textloom.operators import discourse, explore, html, images, lexical, quality, temporal, vectors
+from textloom.operators import discourse, explore, html, images, lexical, quality, similarity, temporal, vectors
 from textloom.queries_core import query
 from textloom.runtime import load
 
@@ -404,6 +404,16 @@ def kmeans_agreement(spark: SparkSession, d: str) -> DataFrame:
     return stats.adjusted_rand(a.join(b, "vec_id"), "a", "b")
 
 
+@query("near_duplicate_pairs")
+def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    a = load(spark, d, "articles")
+    pairs = similarity.near_duplicate_pairs(a, record="document_id", text="body")
+    at = a.groupBy("document_id").agg(F.min("final_url").alias("url"))
+    for k in ("1", "2"):
+        pairs = pairs.withColumnRenamed(f"id_{k}", f"document_id_{k}").join(at.select(F.col("document_id").alias(f"document_id_{k}"), F.col("url").alias(f"url_{k}")), f"document_id_{k}")
+    return pairs.select("document_id_1", "document_id_2", F.round("cosine", 8).alias("cosine_similarity_char_ngrams"), "url_1", "url_2", F.lit("unreviewed_candidate").alias("review_status"))
+
+
 @query("unit_vectors", "select vec_id, round(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 5) as norm from embeddings")
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embeddings").select("vec_id", F.round(stats.norm(F.col("embedding")), 5).alias("norm"))

@@ -43,3 +43,8 @@ def test_every_frame_is_counted_by_document(spark, sf):
     kept = {(r.document_id, r.sentence_id, r.frame.strip(" ").lower()) for r in rows if (r.frame or "").strip(" ")}
     got = {(r.document_id, r.frame): r.n_sentences for r in queries_core.QUERIES["frame_counts_by_document_and_frame"](spark, sf).collect()}
     assert {f for _, f in got} == {f for *_, f in kept} and sum(got.values()) == len(kept)
+
+
+def test_every_pair_of_seeds_is_compared(spark, sf):
+    rows = queries_core.QUERIES["kmeans_agreement"](spark, sf).collect()
+    assert sorted((r.seed_1, r.seed_2) for r in rows) == [(13, 42), (13, 87), (42, 87)] and all(-1 <= r.ari <= 1 for r in rows)

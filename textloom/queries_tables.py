@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import stats, text, urls
 from textloom.operators import discourse, explore, html, images, lexical, quality, similarity, temporal, vectors
 from textloom.queries_core import query
-from textloom.runtime import load
+from textloom.runtime import cut_lineage, load
 
 # ---- audits
 
@@ -398,10 +400,15 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kmeans_agreement")
 def kmeans_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """One row per pair of the reference's seeds; k-means leaves no outliers, so those are 0."""
     e = load(spark, d, "embeddings")
-    a = vectors.kmeans_labels(e, record="vec_id", vector="embedding", k=8, seed=13).withColumnRenamed("cluster", "a")
-    b = vectors.kmeans_labels(e, record="vec_id", vector="embedding", k=8, seed=42).withColumnRenamed("cluster", "b")
-    return stats.adjusted_rand(a.join(b, "vec_id"), "a", "b")
+    labels = {seed: cut_lineage(vectors.kmeans_labels(e, record="vec_id", vector="embedding", k=8, seed=seed)) for seed in (13, 42, 87)}
+    rows = []
+    for s, t in itertools.combinations(labels, 2):
+        both = labels[s].withColumnRenamed("cluster", "a").join(labels[t].withColumnRenamed("cluster", "b"), "vec_id")
+        outliers = [F.lit(0).cast("bigint").alias(f"outliers_seed_{k}") for k in (1, 2)]
+        rows.append(stats.adjusted_rand(both, "a", "b").select(F.lit(s).alias("seed_1"), F.lit(t).alias("seed_2"), "*", *outliers))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("near_duplicate_pairs")

@@ -222,13 +222,58 @@ def test_furniture_lines(spark):
     assert wrapper.label_lines(df.limit(0)).count() == 0 and wrapper.main_text(df.limit(0)).count() == 0
 
 
-def test_templates_of_a_small_host_in_a_large_corpus(spark):
-    rows = [("small.example", 0, [(0, 1)])] * 10 + [("large.example", 0, [(0, 2)])] * 200 + [("large.example", 0, [(0, 3)])] * 7
-    lines = spark.createDataFrame(rows, "site string, zone int, candidates array<struct<level:int,tid:bigint>>")
-    for large in (1_000, 400_000):
-        sites = spark.createDataFrame([("small.example", 20), ("large.example", large)], "site string, pages long")
-        got = {r.tid: r for r in wrapper.templates(lines, sites).collect()}
-        assert set(got) == {1, 2} and got[1].total == 10 and got[1].furniture
+def test_wrapper_folds_mismatches_into_groups_and_slots():
+    a, b, c, t, f = 100, 200, 300, wrapper.TEXT, wrapper.FREE
+    w = wrapper.Wrapper()
+    for stream in ([a, t, b], [a, t, c, t, b], [a, f, t, b, b], [a, t, b]):
+        w.fold(wrapper.Wrapper.of_page(stream, [0] * len(stream)))
+    names = {a: "A", b: "B", c: "C"}
+    assert w.pages == 4 and w.expression(names.get) == "(A) (TEXT+)? (LINE+)? (C)? (TEXT+)? (B)+"
+    repeated = wrapper.collapsed([a, b, a, b, a, b, c])
+    assert [(x[0], x[1]) for x in repeated] == [(a, True), (b, True), (c, False)] and repeated[0][2] == [0, 2, 4]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([1, 2, 100, 200, 300, 400]), max_size=12), min_size=1, max_size=8))
+def test_wrapper_matches_every_page_it_was_folded_from(streams):
+    parts = [wrapper.Wrapper(), wrapper.Wrapper()]
+    for i, stream in enumerate(streams):
+        parts[i % 2].fold(wrapper.Wrapper.of_page(stream, [0] * len(stream)))
+    whole = wrapper.Wrapper()
+    for p in parts:
+        whole.fold(p)
+    assert whole.pages == len(streams) and len(whole.slots) == len(whole.elements) + 1
+    back = wrapper._from_rows(dict(zip(wrapper._ELEMENT_SCHEMA.names, r)) for r in wrapper._to_rows("s", 0, whole))
+    assert back.expression() == whole.expression()
+    for stream in streams:
+        symbols = [s for s, _, _ in wrapper.collapsed(stream) if s > 2]
+        places = whole.align(symbols)
+        assert all(whole.elements[p].symbol == s for s, p in zip(symbols, places) if p >= 0)
+        assert [p for p in places if p >= 0] == sorted({p for p in places if p >= 0})
+    assert sum(e.pages for e in whole.elements) == sum(1 for s in streams for x in wrapper.collapsed(s) if x[0] > 2)
+
+
+@pytest.mark.parametrize("others", [0, 3_000, 70_000])
+def test_labels_of_a_small_host_do_not_depend_on_other_hosts(spark, others):
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefghij") * rng.randrange(2, 9) for _ in range(30)) + "."
+    rows = [(f"s{i}", f"https://small.example/{i}", "\n".join(["Start | Map", text(), text(), "Write to the editor", "All of it is free"]), None) for i in range(12)]
+    df = articles(spark, rows)
+    if others:
+        words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda k: F.concat(F.lit("w"), F.translate(F.conv((F.xxhash64("id", k) % 997).cast("string"), 10, 16), "0123456789", "ghijklmnop"))), " ")
+        more = spark.range(others).select(F.format_string("o%d", "id").alias("document_id"), F.format_string("http://h%d.example/%d", F.col("id") % 9, "id").alias("final_url"), F.concat(F.lit("Other menu\n"), words, F.lit(".\nOther foot")).alias("body"), F.lit(None).cast("array<string>").alias("paragraphs"))
+        df = df.unionByName(more.withColumn("site", F.lit("clash")).withColumn("line_no", F.lit(0)))
+    got = {(r.document_id, r.line_no) for r in wrapper.label_lines(df).filter("furniture and document_id like 's%'").collect()}
+    assert got == {(f"s{i}", k) for i in range(12) for k in (1, 4, 5)}
+
+
+def test_wrappers_do_not_depend_on_the_partitioning(spark):
+    rows = pages(90)
+    df = articles(spark, [(*r[:3], None) for r in rows])
+    one, many = (sorted(map(tuple, wrapper.host_wrappers(df.repartition(n)).collect()), key=str) for n in (1, 7))
+    assert one == many and {r[0] for r in one} == {"one.example", "two.example"}
+    foot = [r for r in one if r[0] == "one.example" and r[3] is not None][-1]
+    assert foot[4] == 60 and not foot[5] and foot[7] == 0.0
 
 
 # ---- reading level

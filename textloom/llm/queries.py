@@ -88,6 +88,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return wrapper.label_lines(load(spark, d, "articles")).filter("furniture").select("document_id", "line_no")
 
 
+@query("p3_wrappers")
+def p3_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    return wrapper.host_wrappers(load(spark, d, "articles"))
+
+
 @query("p3_main_text")
 def p3_main_text(spark: SparkSession, d: str) -> DataFrame:
     return wrapper.main_text(load(spark, d, "articles"))

@@ -1,62 +1,320 @@
-"""Main text of pages: wrappers inferred from same-host token streams.
-
-A page is a stream of lines, a line a stream of tokens.  Streams of one host are aligned in
-rounds, and every mismatch is resolved into a part of a union-free regular expression:
-
-1. Lines that agree token by token (case, digits and white space apart) on enough pages of a
-   host align exactly: they are the wrapper's constants.
-2. Remaining short lines are aligned with one another: names and numbers are text slots at
-   once, and each round opens one further token as a slot and keeps the alignment with the
-   largest support (``report : _ near X fails X``).  A constant prefix before a colon or a path sign
-   aligns lines whose rest is one slot.
-3. Pages are aligned on their running text (long lines that align with nothing), the repeated
-   text group of the wrapper.  A template that always lies before or after the group is a part
-   of the page's frame; one that lies inside it is optional and may be repeated.
-
-Whether an optional line inside the group belongs to the page or to the author shows in how it
-spreads over hosts: a host's furniture is frequent there and absent elsewhere, whereas
-subheadings, lists and quotations come up at like rates everywhere.
-
-Templates are 64-bit hashes and all rounds are counts, so a host with a third of all pages
-is as distributed as any other.
+"""Main text of pages: union-free wrappers inferred from same-host token streams.
+
+A page is a stream of lines, a line a stream of tokens.  A host's wrapper is a regular expression
+without unions: constants and templates with text slots in the order of the page, each of them
+plain, optional or repeated, with slots for running text and for short free lines in between.
+
+1. Lines.  Lines of a host are aligned token by token.  Those that agree (case, digits and white
+   space apart) are constants.  In the rest names and numbers are text slots at once, one further
+   token may be opened as a slot, and a constant prefix before a colon or a path sign aligns lines
+   whose rest is one slot; the alignment with the largest support holds.
+2. Pages.  Each page is a stream of templates, running text and free lines.  Streams are folded into
+   the wrapper one after another: what aligns stays, a template that only one side has becomes an
+   optional element, a block that follows itself a repeated one, anything else falls into the slot
+   between its neighbours (``Wrapper.fold``).  Parts of a host are folded by tasks and their wrappers
+   folded into one another, so all pages of all hosts take part and no task sees more than
+   ``PART`` pages.
+3. Labels.  Each page is matched with its host's wrapper.  Elements outside of the wrapper's running
+   text are the page's frame.  Elements within it are optional parts of either the page or its
+   author: the page's, if they are frequent on the host or if their rate is uneven over hosts beyond
+   chance, whereas subheadings, lists and quotations come up at like rates everywhere.  A host alone has
+   only the first sign.
+
+What a host's wrapper holds depends on that host's pages alone.  A template that a host is too
+small to show is read as on all hosts together.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.lines import site_of, spaced
+from textloom.llm.lines import join_spread, site_of, spaced
 from textloom.runtime import cut_lineage
 
 SHORT = 24  # words up to which a line can be aligned with slots
-MIN_PAGES = 8  # pages that a constant or template needs
-CONSTANT_SHARE = 0.005  # share of a host's pages that a constant needs
+MIN_PAGES = 8  # occurrences that a constant or template needs
+CONSTANT_SHARE = 0.005  # occurrences per page of a host that a constant needs
 LONG_CONSTANT_SHARE = 0.02  # the same for a line longer than SHORT words
-INSIDE = 0.5  # share of occurrences inside the text group below which a template is part of the frame
+ELEMENT_SHARE = 0.001  # occurrences per page of a host that an element of its wrapper needs; bounds the wrapper
+INSIDE = 0.5  # share of occurrences inside the running text below which an element is part of the frame
 CONCENTRATED = 0.35  # squared variation of its rate over hosts that marks a host's own line
-UNEVEN = 0.03  # the same where its excess over chance is certain
-CERTAIN = 2.0
-SURE = 3  # occurrences per host from which a template decides before a closer one
+UNEVEN = 0.03  # the same where it is far beyond chance
+BEYOND, FAR_BEYOND = 1.8, 4.7  # standard deviations of chance that the two need
+SURE = 3  # occurrences per host that has it from which a template decides before a closer one
 FREQUENT = 0.15  # share of a host's pages that no author's line reaches
+PART = 1_000  # pages that are folded by one task at a time
+FAN_IN = 32  # wrappers that are folded into one by one task at a time
+BLOCK = 3  # longest block that is recognised as repeated
 SENTENCE = r"[.!?…][\"”’»')\]]*$"
+TEXT, FREE = 1, 2  # stream signs of running text and of a short line without a template
+
+
+# ---- wrappers
+
+
+@dataclass
+class Element:
+    """A template at its place in the wrapper; ``zones`` counts its lines before, inside and after the running text of their pages."""
+
+    symbol: int
+    pages: int = 0
+    repeats: int = 0
+    zones: list[int] = field(default_factory=lambda: [0, 0, 0])
+
+
+@dataclass
+class Slot:
+    """What lies before an element (or, the last one, after all of them): pages with running text and with free lines there."""
+
+    text: int = 0
+    free: int = 0
+
+
+def collapsed(stream: list[int]) -> list[tuple[int, bool, list[int]]]:
+    """(sign, repeated, places) of a stream in which a block of up to ``BLOCK`` signs that follows itself is one block."""
+    out: list[tuple[int, bool, list[int]]] = []
+    for at, sign in enumerate(stream):
+        out.append((sign, False, [at]))
+        again = True
+        while again:
+            again = False
+            for n in range(1, min(BLOCK, len(out) // 2) + 1):
+                if all(out[-n + i][0] == out[-2 * n + i][0] for i in range(n)):
+                    for i in range(n):
+                        s, _, places = out[-2 * n + i]
+                        out[-2 * n + i] = (s, True, places + out[-n + i][2])
+                    del out[-n:]
+                    again = True
+                    break
+    return out
+
+
+class Wrapper:
+    """Union-free regular expression of a host's pages; ``slots[i]`` lies before ``elements[i]``."""
+
+    def __init__(self) -> None:
+        self.pages = 0
+        self.elements: list[Element] = []
+        self.slots: list[Slot] = [Slot()]
+        self._at: dict[int, list[int]] | None = None
+
+    def align(self, symbols: list[int]) -> list[int]:
+        """The place in the wrapper of each symbol, -1 for a mismatch: a longest run of matches in order."""
+        if self._at is None:
+            self._at = {}
+            for i, e in enumerate(self.elements):
+                self._at.setdefault(e.symbol, []).append(i)
+        tails: list[int] = []
+        ends: list[tuple] = []
+        for j, s in enumerate(symbols):
+            for p in reversed(self._at.get(s, ())):
+                k = bisect_left(tails, p)
+                node = (j, p, ends[k - 1] if k else None)
+                if k == len(tails):
+                    tails.append(p)
+                    ends.append(node)
+                else:
+                    tails[k], ends[k] = p, node
+        found = [-1] * len(symbols)
+        node = ends[-1] if ends else None
+        while node:
+            found[node[0]] = node[1]
+            node = node[2]
+        return found
+
+    def fold(self, other: Wrapper) -> None:
+        """Takes another wrapper (a page is one) in: mismatches become optional elements, the rest slots."""
+        places = self.align([e.symbol for e in other.elements])
+        elements, slots, done = [], [], 0
+        carried = Slot()  # slots of the other side wait for the next element
+        for (e, place), slot in zip(zip(other.elements, places), other.slots):
+            carried = Slot(carried.text + slot.text, carried.free + slot.free)
+            if place < 0:
+                # The mismatch goes before what this side still has up to the next match.
+                elements.append(Element(e.symbol, e.pages, e.repeats, list(e.zones)))
+                slots.append(carried)
+                carried = Slot()
+                continue
+            for i in range(done, place + 1):
+                mine = self.slots[i]
+                slots.append(Slot(mine.text + carried.text, mine.free + carried.free))
+                carried = Slot()
+                elements.append(self.elements[i])
+            old = self.elements[place]
+            old.pages, old.repeats = old.pages + e.pages, old.repeats + e.repeats
+            old.zones = [a + b for a, b in zip(old.zones, e.zones)]
+            done = place + 1
+        for i in range(done, len(self.elements)):
+            elements.append(self.elements[i])
+            slots.append(Slot(self.slots[i].text + carried.text, self.slots[i].free + carried.free))
+            carried = Slot()
+        rest, last = self.slots[-1], other.slots[-1]
+        slots.append(Slot(rest.text + last.text + carried.text, rest.free + last.free + carried.free))
+        if len(elements) != len(self.elements):
+            self._at = None
+        self.elements, self.slots, self.pages = elements, slots, self.pages + other.pages
+
+    @classmethod
+    def of_page(cls, stream: list[int], zones: list[int]) -> Wrapper:
+        w = cls()
+        w.pages = 1
+        for sign, repeated, places in collapsed(stream):
+            if sign == TEXT:
+                w.slots[-1].text = 1
+            elif sign == FREE:
+                w.slots[-1].free = 1
+            else:
+                e = Element(sign, 1, int(repeated))
+                for at in places:
+                    e.zones[zones[at] + 1] += 1
+                w.elements.append(e)
+                w.slots.append(Slot())
+        return w
+
+    def zones(self) -> dict[int, list[int]]:
+        """Lines of each template before, inside and after the running text, at all its places."""
+        out: dict[int, list[int]] = {}
+        for e in self.elements:
+            have = out.setdefault(e.symbol, [0, 0, 0])
+            for i in range(3):
+                have[i] += e.zones[i]
+        return out
+
+    def expression(self, name=hex) -> str:
+        """The regular expression, with ``TEXT`` and ``LINE`` for the slots."""
+        parts: list[str] = []
+        for i, slot in enumerate(self.slots):
+            parts += ["TEXT+" if slot.text == self.pages else "(TEXT+)?"] * bool(slot.text) + ["(LINE+)?"] * bool(slot.free)
+            if i < len(self.elements):
+                e = self.elements[i]
+                parts.append(f"({name(e.symbol)})" + ("*" if e.repeats and e.pages < self.pages else "+" if e.repeats else "?" if e.pages < self.pages else ""))
+        return " ".join(parts)
+
+
+ELEMENTS = "site string, part int, pages bigint, at int, symbol bigint, on bigint, repeats bigint, before bigint, inside bigint, after bigint, text_slot bigint, free_slot bigint"
+_ELEMENT_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+_ELEMENT_SCHEMA = pa.schema([(c.split()[0], _ELEMENT_TYPES[c.split()[1]]) for c in ELEMENTS.split(", ")])
+
+
+def _to_rows(site: str, part: int, w: Wrapper) -> list[tuple]:
+    rows = [(site, part, w.pages, i, e.symbol, e.pages, e.repeats, *e.zones, s.text, s.free) for i, (e, s) in enumerate(zip(w.elements, w.slots))]
+    return [*rows, (site, part, w.pages, len(rows), None, 0, 0, 0, 0, 0, w.slots[-1].text, w.slots[-1].free)]
+
+
+def _from_rows(rows: Iterable[dict]) -> Wrapper:
+    w = Wrapper()
+    w.slots = []
+    for r in sorted(rows, key=lambda r: r["at"]):
+        w.pages = r["pages"]
+        if r["symbol"] is not None:
+            w.elements.append(Element(r["symbol"], r["on"], r["repeats"], [r["before"], r["inside"], r["after"]]))
+        w.slots.append(Slot(r["text_slot"], r["free_slot"]))
+    return w if w.slots else Wrapper()
+
+
+def _rows_table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(_ELEMENT_SCHEMA)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ELEMENT_SCHEMA)], schema=_ELEMENT_SCHEMA)
+
+
+def _pages_of(table: pa.Table) -> Iterator[tuple[str, list[dict]]]:
+    """The pages of a group with their lines in order."""
+    table = table.take(pc.sort_indices(table, [("document_id", "ascending"), ("no", "ascending")]))
+    columns = {c: table.column(c).to_pylist() for c in table.column_names}
+    names, ids = [c for c in columns if c not in ("document_id", "site", "part")], columns["document_id"]
+    start = 0
+    for i in range(1, len(ids) + 1):
+        if i == len(ids) or ids[i] != ids[start]:
+            yield ids[start], [{n: columns[n][j] for n in names} for j in range(start, i)]
+            start = i
+
+
+def _stream(lines: list[dict]) -> list[int]:
+    return [TEXT if x["text"] else x["symbol"] if x["supported"] else FREE for x in lines]
+
+
+def _fold_pages(key: tuple, table: pa.Table) -> pa.Table:
+    w = Wrapper()
+    for _, lines in _pages_of(table):
+        w.fold(Wrapper.of_page(_stream(lines), [x["zone"] for x in lines]))
+    return _rows_table(_to_rows(key[0].as_py(), key[1].as_py(), w))
+
+
+def _fold_wrappers(key: tuple, table: pa.Table) -> pa.Table:
+    parts: dict[int, list[dict]] = {}
+    for r in table.to_pylist():
+        parts.setdefault(r["part"], []).append(r)
+    w = Wrapper()
+    for part in sorted(parts):
+        w.fold(_from_rows(parts[part]))
+    return _rows_table(_to_rows(key[0].as_py(), key[1].as_py(), w))
+
+
+LABELS = "document_id string, line_no int, furniture boolean"
+
+
+def _label_pages(key: tuple, pages: pa.Table, elements: pa.Table) -> pa.Table:
+    """Matches pages with the wrapper of their host."""
+    wrapper = _from_rows(elements.to_pylist())
+    zones, ids, numbers, labels = wrapper.zones(), [], [], []
+    for record, lines in _pages_of(pages):
+        stream = _stream(lines)
+        tokens = [(s, places) for s, _, places in collapsed(stream)]
+        symbols = [(s, places) for s, places in tokens if s not in (TEXT, FREE)]
+        matched = {at for (_, places), p in zip(symbols, wrapper.align([s for s, _ in symbols])) if p >= 0 for at in places}
+        verdicts: list[bool | None] = []
+        frame_from = None
+        for at, x in enumerate(lines):
+            own, frame, furniture = bool(x["own"]), False, None
+            if not x["text"] and x["symbol"] is not None:
+                if at in matched:
+                    before, inside, after = zones[x["symbol"]]
+                    share = inside / (before + inside + after)
+                else:  # the host has too little of it: as on all hosts
+                    share = x["inside"]
+                frame = share < INSIDE
+                furniture = frame or own or bool(x["frequent"])
+                if furniture and not frame and not x["exact"] and x["ends"] and x["n"] >= 8 and not x["concentrated"]:
+                    furniture = False  # a sentence with slots needs the plainer sign: its author's style may differ by host
+                if frame and furniture and x["zone"] == 1 and frame_from is None:
+                    frame_from = x["no"]
+            verdicts.append(furniture)
+        for x, furniture in zip(lines, verdicts):
+            if furniture is None:  # slots: running text, and free lines by their place
+                if x["text"] or x["zone"] == 0:
+                    furniture = False
+                elif x["zone"] == 1:
+                    furniture = frame_from is not None and x["no"] > frame_from
+                else:
+                    furniture = not (x["ends"] and x["n"] >= 6)
+            ids.append(record)
+            numbers.append(x["no"])
+            labels.append(furniture)
+    return pa.table([pa.array(ids, pa.string()), pa.array(numbers, pa.int32()), pa.array(labels, pa.bool_())], names=["document_id", "line_no", "furniture"])
+
+
+# ---- lines and their alignments
 
 
 def page_lines(articles: DataFrame, *, record: str, url: str, body: str) -> DataFrame:
-    """``document_id, site, no, n, k, t``: non-blank lines once per document; ``t`` is null for long lines."""
+    """``document_id, site, no, n, k, ends, first, t``: non-blank lines once per document, digits as 0; ``t`` is null for long lines."""
 
     def line(raw, i):
-        t = spaced(raw)
-        return F.struct((i + 1).alias("no"), t.alias("t"))
+        return F.struct((i + 1).alias("no"), F.regexp_replace(spaced(raw), r"(?U)\d+", "0").alias("t"))
 
-    def shape(x):
+    def shape(x, i):
         n = F.length(x["t"]) - F.length(F.replace(x["t"], F.lit(" "), F.lit(""))) + 1
-        key = F.xxhash64(F.regexp_replace(F.lower(x["t"]), r"(?U)\d+", "0"))
-        ends = x["t"].rlike(SENTENCE)
-        return F.struct(x["no"].alias("no"), n.alias("n"), key.alias("k"), ends.alias("ends"), F.when(n <= SHORT, x["t"]).alias("t"))
+        return F.struct(x["no"].alias("no"), n.alias("n"), F.xxhash64(F.lower(x["t"])).alias("k"), x["t"].rlike(SENTENCE).alias("ends"), (i == 0).alias("first"), F.when(n <= SHORT, x["t"]).alias("t"))
 
     slim = articles.filter(F.col(record).isNotNull() & F.col(body).isNotNull()).select(
-        F.col(record).alias("document_id"),
+        F.col(record).cast("string").alias("document_id"),
         site_of(F.col(url)).alias("site"),
         F.filter(F.transform(F.split(body, "\n", -1), line), lambda x: x["t"] != "").alias("lines"),
     )
@@ -106,77 +364,94 @@ def alignments(t):
     return F.concat(candidates(collapsed, 1), named, loose)
 
 
-def aligned_pages(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(lines, sites): every non-blank line with its zone (-1 before, 0 inside, 1 after the text group) and
-    candidate templates, and the pages per site."""
+def placed_lines(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> tuple[DataFrame, DataFrame, int]:
+    """(lines, sites, number of lines): every non-blank line with what it is (``constant``, running ``text``) and its
+    zone (-1 before, 0 inside, 1 after the running text), and the pages of each site."""
     lines = cut_lineage(page_lines(articles, record=record, url=url, body=body))
-    sites = lines.groupBy("site").agg(F.count_distinct("document_id").alias("pages"))
-    counts = lines.groupBy("site", "k", "document_id").agg(F.max("n").alias("n")).groupBy("site", "k").agg(F.count("*").alias("pages_with"), F.max("n").alias("n"))
-    counts = counts.filter(F.col("pages_with") >= MIN_PAGES).join(sites, "site")
+    sites = cut_lineage(lines.groupBy("site").agg(F.sum(F.col("first").cast("long")).alias("pages"), F.count("*").alias("lines")))
+    total = sites.agg(F.sum("lines")).first()[0] or 0
+    counts = lines.groupBy("site", "k").agg(F.count("*").alias("o"), F.max("n").alias("n")).filter(F.col("o") >= MIN_PAGES).join(sites, "site")
     share = F.when(F.col("n") > SHORT, LONG_CONSTANT_SHARE).otherwise(CONSTANT_SHARE)
-    constants = counts.filter(F.col("pages_with") >= share * F.col("pages")).select("site", "k", F.lit(True).alias("constant"))
-    joined = lines.join(constants, ["site", "k"], "left").withColumn("constant", F.coalesce("constant", F.lit(False)))
+    constants = counts.filter(F.col("o") >= share * F.col("pages")).select("site", "k", "o")
+    joined = join_spread(lines, constants, ["site", "k"], weight="o", total=total, value="c")
+    joined = joined.withColumn("constant", F.col("c").isNotNull()).drop("c")
     joined = joined.withColumn("text", ~F.col("constant") & ((F.col("n") >= 20) | (F.col("ends") & (F.col("n") >= 12))))
     page = Window.partitionBy("document_id")
-    joined = joined.withColumn("first", F.min(F.when(F.col("text"), F.col("no"))).over(page)).withColumn("last", F.max(F.when(F.col("text"), F.col("no"))).over(page))
-    zone = F.when(F.col("no") < F.col("first"), -1).when(F.col("no") > F.col("last"), 1).otherwise(0)
+    joined = joined.withColumn("from", F.min(F.when(F.col("text"), F.col("no"))).over(page)).withColumn("to", F.max(F.when(F.col("text"), F.col("no"))).over(page))
     # What follows the text before any constant may still be the author's (an update, a last list).
-    after = F.min(F.when(F.col("constant") & (F.col("no") > F.col("last")), F.col("no"))).over(page)
-    zone = F.when((zone == 1) & ~F.col("constant") & F.coalesce(F.col("no") < after, F.lit(True)), 0).otherwise(zone)
-    exact = F.array(F.struct(F.lit(0).alias("level"), F.col("k").alias("tid")))
-    loose = F.when(~F.col("constant") & ~F.col("text") & F.col("t").isNotNull(), alignments(F.col("t"))).otherwise(F.array().cast("array<struct<level:int,tid:bigint>>"))
-    candidates = F.when(F.col("text"), F.array().cast("array<struct<level:int,tid:bigint>>")).otherwise(F.concat(exact, loose))
-    out = joined.select("document_id", "site", "no", "n", "ends", "text", zone.alias("zone"), candidates.alias("candidates"))
-    return cut_lineage(out), sites
+    after = F.min(F.when(F.col("constant") & (F.col("no") > F.col("to")), F.col("no"))).over(page)
+    zone = F.when(F.col("no") < F.col("from"), -1).when((F.col("no") > F.col("to")) & (F.col("constant") | (F.col("no") >= after)), 1).otherwise(0)
+    t = F.when(~F.col("constant") & ~F.col("text"), F.col("t")).alias("t")
+    return cut_lineage(joined.select("document_id", "site", "no", "n", "k", "ends", "text", zone.alias("zone"), t)), sites, total
 
 
-def templates(lines: DataFrame, sites: DataFrame) -> DataFrame:
-    """``level, tid, total, inside, variation, share, furniture, frame, sure`` of all templates with enough support.
-
-    The support does not grow with the corpus: a template that a host had stays when other hosts are added.
-    """
+def line_templates(lines: DataFrame, sites: DataFrame) -> DataFrame:
+    """``site, k, occurrences, symbol, exact, supported, inside, own, concentrated, frequent`` of each line shape of a host that
+    aligns with a template: ``supported`` where the host itself has enough of it, the others as on all hosts."""
     size = sites.agg(F.sum("pages").alias("pages"), F.count("*").alias("sites")).first()
-    pages, n_sites = size["pages"] or 0, size["sites"] or 0
-    seen = lines.select("site", "zone", F.explode("candidates").alias("c")).select("site", "zone", "c.level", "c.tid")
-    by_site = seen.groupBy("level", "tid", "site").agg(F.count("*").alias("o"), F.sum(F.when(F.col("zone") == 0, 1).otherwise(0)).alias("i"))
-    by_site = by_site.join(sites, "site")
+    pages, n_sites = float(size["pages"] or 0), size["sites"] or 0
+    shapes = lines.filter("not text").groupBy("site", "k").agg(F.count("*").alias("occurrences"), F.sum((F.col("zone") == 0).cast("long")).alias("i"), F.max("t").alias("t"))
+    none = F.array().cast("array<struct<level:int,tid:bigint>>")
+    exact = F.array(F.struct(F.lit(0).alias("level"), F.col("k").alias("tid")))
+    shapes = cut_lineage(shapes.select("site", "k", "occurrences", "i", F.concat(exact, F.when(F.col("t").isNotNull(), alignments(F.col("t"))).otherwise(none)).alias("candidates")))
+    seen = shapes.select("site", "k", "occurrences", "i", F.explode("candidates").alias("c")).select("site", "k", "occurrences", "i", "c.level", "c.tid")
+    by_site = seen.groupBy("level", "tid", "site").agg(F.sum("occurrences").alias("o"), F.sum("i").alias("i")).join(sites.select("site", "pages"), "site")
     o, p = F.col("o").cast("double"), F.col("pages").cast("double")
-    stats = by_site.groupBy("level", "tid").agg(F.sum("o").alias("total"), F.sum("i").alias("i"), F.sum(o * o / p).alias("q"), F.max(o / p).alias("share"))
+    stats = by_site.groupBy("level", "tid").agg(F.sum("o").alias("total"), F.sum("i").alias("i"), F.sum(o * o / p).alias("q"), F.max(o / p).alias("share"), F.count("*").alias("hosts"))
     stats = stats.filter(F.col("total") >= MIN_PAGES)
     total = F.col("total").cast("double")
-    variation = F.lit(float(pages)) * F.col("q") / (total * total) - 1 - F.lit(float(max(n_sites - 1, 0))) / total
-    inside = F.col("i") / total
-    certain = variation * total / F.lit(float(max(n_sites - 1, 1)))  # like chi-square per degree of freedom
-    own = ((variation >= CONCENTRATED) & (total >= 2 * n_sites)) | ((variation >= UNEVEN) & (certain >= CERTAIN))
-    frequent = (F.col("level") == 0) & (F.col("share") >= FREQUENT)
-    furniture = (inside < INSIDE) | own | frequent
-    return stats.select("level", "tid", "total", inside.alias("inside"), variation.alias("variation"), "share", furniture.alias("furniture"), (inside < INSIDE).alias("frame"), (total >= SURE * n_sites).alias("sure"))
+    variation = F.lit(pages) * F.col("q") / (total * total) - 1 - F.lit(float(max(n_sites - 1, 0))) / total
+    chance = F.lit((2.0 * max(n_sites - 1, 0)) ** 0.5) / total  # standard deviation of the variation of an evenly spread line
+    own = (variation >= F.greatest(F.lit(CONCENTRATED), BEYOND * chance)) | (variation >= F.greatest(F.lit(UNEVEN), FAR_BEYOND * chance))
+    stats = stats.select("level", "tid", "total", (F.col("i") / total).alias("inside"), F.coalesce(own & F.lit(n_sites > 1), F.lit(False)).alias("own"), (variation >= CONCENTRATED).alias("concentrated"), F.col("share").alias("top_share"), (F.col("total") >= SURE * F.col("hosts")).alias("sure"))
+    local = by_site.select("site", "level", "tid", "o", "pages").join(stats, ["level", "tid"])
+    supported = (F.col("o") >= MIN_PAGES) & (F.col("o") >= ELEMENT_SHARE * F.col("pages"))
+    frequent = (F.col("level") == 0) & (F.when(supported, F.col("o") / F.col("pages")).otherwise(F.col("top_share")) >= FREQUENT)
+    local = local.select("site", "level", "tid", supported.alias("supported"), frequent.alias("frequent"), "inside", "own", "concentrated", "sure", "total")
+    hit = seen.select("site", "k", "occurrences", "level", "tid").join(local, ["site", "level", "tid"])
+    rank = F.struct((~F.col("sure")).alias("a"), (-F.col("total")).alias("b"), "level", "tid", "supported", "frequent", "inside", "own", "concentrated")
+    best = hit.groupBy("site", "k").agg(F.max("occurrences").alias("occurrences"), F.min(rank).alias("b"))
+    # A template is one sign of the streams; the small numbers are the other signs.
+    symbol = F.xxhash64("b.level", "b.tid").bitwiseAND(F.lit(~3))
+    return cut_lineage(best.select("site", "k", "occurrences", symbol.alias("symbol"), (F.col("b.level") == 0).alias("exact"), "b.supported", "b.frequent", "b.inside", "b.own", "b.concentrated"))
+
+
+def _wrapped(articles: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines with their templates and part, wrapper elements, sites)."""
+    lines, sites, total = placed_lines(articles, **columns)
+    templates = line_templates(lines, sites)
+    marked = join_spread(lines.drop("t"), templates, ["site", "k"], weight="occurrences", total=total, value="v")
+    slim = marked.select("document_id", "site", "no", "n", "ends", "text", "zone", "v.symbol", "v.exact", F.coalesce("v.supported", F.lit(False)).alias("supported"), "v.frequent", "v.inside", "v.own", "v.concentrated")
+    parts = F.ceil(F.col("pages") / PART).cast("int")
+    part = F.pmod(F.xxhash64("document_id"), parts).cast("int")
+    marked = cut_lineage(slim.join(sites.select("site", "pages"), "site").withColumn("part", part).drop("pages"))
+    wrappers = cut_lineage(marked.select("document_id", "site", "part", "no", "text", "zone", "symbol", "supported").groupBy("site", "part").applyInArrow(_fold_pages, ELEMENTS))
+    left = sites.agg(F.max(parts)).first()[0] or 0
+    while left > 1:
+        wrappers = cut_lineage(wrappers.withColumn("to", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("site", "to").applyInArrow(_fold_wrappers, ELEMENTS))
+        left = -(-left // FAN_IN)
+    return marked, wrappers, sites
 
 
 def label_lines(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> DataFrame:
     """``document_id, line_no, furniture``: each non-blank line of each body.
 
-    A null record or body gives no rows.  A line that aligns with no template is running text inside
-    the text group, and after it until the page's frame begins; before it, only if it is a sentence.
+    A null record or body gives no rows; repeated rows of a record count once.  A line that aligns with no
+    template is running text inside the text, and after it until the page's frame begins; before it, only if it is a sentence.
     """
-    lines, sites = aligned_pages(articles, record=record, url=url, body=body)
-    known = templates(lines, sites)
-    wanted = lines.select("document_id", "no", F.explode("candidates").alias("c")).select("document_id", "no", "c.level", "c.tid")
-    hit = wanted.join(known, ["level", "tid"])
-    best = hit.groupBy("document_id", "no").agg(F.min(F.struct((~F.col("sure")).alias("unsure"), (-F.col("total")).alias("t"), "level", "furniture", "frame", "variation")).alias("b"))
-    all_lines = lines.select("document_id", "no", "ends", "n", "text", "zone").join(best, ["document_id", "no"], "left")
-    page = Window.partitionBy("document_id")
-    frame_from = F.min(F.when((F.col("zone") == 1) & F.col("b.furniture") & F.col("b.frame"), F.col("no"))).over(page)
-    all_lines = all_lines.withColumn("frame_from", frame_from)
-    unmatched = (
-        F.when(F.col("text") | (F.col("zone") == 0), False)
-        .when(F.col("zone") == 1, F.coalesce(F.col("no") > F.col("frame_from"), F.lit(False)))
-        .otherwise(~(F.col("ends") & (F.col("n") >= 6)))
-    )
-    # A sentence that isn't a constant needs the plainer sign: its author's level of style may differ by host.
-    sentence = (F.col("b.level") > 0) & F.col("ends") & (F.col("n") >= 8) & ~F.col("b.frame") & (F.col("b.variation") < CONCENTRATED)
-    furniture = F.when(sentence, False).otherwise(F.coalesce(F.col("b.furniture"), unmatched))
-    return all_lines.select("document_id", F.col("no").alias("line_no"), furniture.alias("furniture"))
+    marked, wrappers, sites = _wrapped(articles, record=record, url=url, body=body)
+    parts = sites.select(F.col("site").alias("s"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("pages") / PART).cast("int") - 1)).alias("p"))
+    everywhere = parts.join(wrappers, F.col("s") == F.col("site")).withColumn("part", F.col("p")).drop("s", "p")
+    return marked.groupBy("site", "part").cogroup(everywhere.groupBy("site", "part")).applyInArrow(_label_pages, LABELS)
+
+
+def host_wrappers(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> DataFrame:
+    """``site, pages, at, symbol, n_pages, is_optional, is_repeated, inside, has_text, has_free_lines``: the elements of each
+    host's wrapper in order; the last row of a host (``symbol`` null) is the slot behind all elements."""
+    _, w, _ = _wrapped(articles, record=record, url=url, body=body)
+    share = F.when(F.col("symbol").isNotNull(), F.col("inside") / (F.col("before") + F.col("inside") + F.col("after")))
+    optional = F.when(F.col("symbol").isNotNull(), F.col("on") < F.col("pages"))
+    return w.select("site", "pages", "at", "symbol", F.col("on").alias("n_pages"), optional.alias("is_optional"), (F.col("repeats") > 0).alias("is_repeated"), share.alias("inside"), (F.col("text_slot") > 0).alias("has_text"), (F.col("free_slot") > 0).alias("has_free_lines"))
 
 
 def main_text(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> DataFrame:

@@ -306,17 +306,17 @@ def _label_pages(key: tuple, pages: pa.Table, elements: pa.Table) -> pa.Table:
 def page_lines(articles: DataFrame, *, record: str, url: str, body: str) -> DataFrame:
     """``document_id, site, no, n, k, ends, first, t``: non-blank lines once per document, digits as 0; ``t`` is null for long lines."""
 
-    def line(raw, i):
-        return F.struct((i + 1).alias("no"), F.regexp_replace(spaced(raw), r"(?U)\d+", "0").alias("t"))
-
     def shape(x, i):
         n = F.length(x["t"]) - F.length(F.replace(x["t"], F.lit(" "), F.lit(""))) + 1
-        return F.struct(x["no"].alias("no"), n.alias("n"), F.xxhash64(F.lower(x["t"])).alias("k"), x["t"].rlike(SENTENCE).alias("ends"), (i == 0).alias("first"), F.when(n <= SHORT, x["t"]).alias("t"))
+        ends = F.substring(x["t"], -6, 6).rlike(SENTENCE)
+        return F.struct(x["no"].alias("no"), n.alias("n"), F.xxhash64(F.lower(x["t"])).alias("k"), ends.alias("ends"), (i == 0).alias("first"), F.when(n <= SHORT, x["t"]).alias("t"))
 
+    even = F.regexp_replace(F.regexp_replace(body, r"(?U)[\s&&[^\n]]+", " "), r"(?U)\d+", "0")
+    numbered = F.transform(F.split(even, "\n", -1), lambda raw, i: F.struct((i + 1).alias("no"), F.trim(raw).alias("t")))
     slim = articles.filter(F.col(record).isNotNull() & F.col(body).isNotNull()).select(
         F.col(record).cast("string").alias("document_id"),
         site_of(F.col(url)).alias("site"),
-        F.filter(F.transform(F.split(body, "\n", -1), line), lambda x: x["t"] != "").alias("lines"),
+        F.filter(numbered, lambda x: x["t"] != "").alias("lines"),
     )
     shaped = slim.select("document_id", "site", F.transform("lines", shape).alias("lines"))
     once = shaped.groupBy("document_id").agg(F.min(F.struct("site", "lines")).alias("x"))
@@ -324,44 +324,39 @@ def page_lines(articles: DataFrame, *, record: str, url: str, body: str) -> Data
 
 
 def _tokens(t):
-    """Tokens of a short line: X for names, 0 in place of digits, else lower case; a line in capitals has no names."""
+    """Tokens of a short line with digits as 0: X for names, else lower case; a line in capitals has no names."""
     even = F.when(t.rlike(r"\p{Ll}"), t).otherwise(F.lower(t))
-    words = F.split(F.regexp_replace(even, r"(?U)\d+", "0"), " ")
-    return F.transform(words, lambda w, i: F.when((i > 0) & w.rlike(r"^[^\p{L}0-9]*\p{Lu}"), F.lit("X")).otherwise(F.lower(w)))
-
-
-def _hashes(tokens):
-    """One hash per token that depends on its place; runs of X count as one X."""
-    kept = F.filter(tokens, lambda w: F.lit(True))
-    return F.transform(kept, lambda w, i: F.xxhash64(w, i))
-
-
-def alignments(t):
-    """Candidate templates of a short line, ``array<struct<level, tid>>`` from exact to loose."""
-    collapsed = F.split(F.regexp_replace(F.array_join(_tokens(t), " "), r"X(?: X)+", "X"), " ")
-    first = F.concat(F.array(F.lit("X")), F.slice(collapsed, 2, SHORT))
-    first = F.split(F.regexp_replace(F.array_join(first, " "), r"^X X(?= |$)", "X"), " ")
+    return F.transform(F.split(even, " "), lambda w, i: F.when((i > 0) & w.rlike(r"^[^\p{L}0-9]*\p{Lu}"), F.lit("X")).otherwise(F.lower(w)))
 
-    def all_of(hashes):
-        return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
 
-    def candidates(tokens, level):
-        hashes = _hashes(tokens)
-        whole = all_of(hashes)
-        constants = F.size(F.filter(tokens, lambda w: (w != "X") & w.rlike(r"\p{L}")))
-        slots = F.transform(
-            F.filter(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["w"] != "X") & x["w"].rlike(r"^\p{Ll}")),
-            lambda x: whole.bitwiseXOR(F.xxhash64(x["w"], x["i"])).bitwiseXOR(F.xxhash64(F.lit("_"), x["i"])),
-        )
-        slots = F.when(constants >= 3, slots).otherwise(F.array().cast("array<bigint>"))
-        out = F.transform(slots, lambda h: F.struct(F.lit(level + 1).alias("level"), h.alias("tid")))
-        return F.concat(F.array(F.struct(F.lit(level).alias("level"), whole.alias("tid"))), out)
+def with_candidates(shapes: DataFrame) -> DataFrame:
+    """``shapes(k, t, ...)`` with ``candidates``, the templates of a line as ``array<struct<level, tid>>`` from exact to loose.
 
-    prefix = F.regexp_extract(F.lower(t), r"^([^>/»|:]{1,30}?)\s*(?:[>/»|]|::?)", 1)
-    loose = F.when(prefix != "", F.array(F.struct(F.lit(5).alias("level"), F.xxhash64(prefix, F.lit("…")).alias("tid")))).otherwise(F.array().cast("array<struct<level:int,tid:bigint>>"))
-    capital = t.rlike(r"^[^\p{L}0-9]*\p{Lu}")
-    named = F.when(capital, candidates(first, 3)).otherwise(F.array().cast("array<struct<level:int,tid:bigint>>"))
-    return F.concat(candidates(collapsed, 1), named, loose)
+    The steps are columns of their own, so that none of them is computed for each of its uses.
+    """
+    none = F.array().cast("array<struct<level:int,tid:bigint>>")
+    joined = F.regexp_replace(F.array_join(_tokens(F.col("t")), " "), r"X(?: X)+", "X")
+    out = shapes.withColumn("_1", joined)
+    # The same with the first word as a name.
+    rest = F.when(F.instr("_1", " ") > 0, F.expr("substring(_1, instr(_1, ' '))")).otherwise(F.lit(""))
+    named = F.when(F.col("t").rlike(r"^[^\p{L}0-9]*\p{Lu}"), F.regexp_replace(F.concat(F.lit("X"), rest), "^X X(?= |$)", "X"))
+    out = out.withColumn("_3", named)
+    for c in ("_1", "_3"):
+        # A hash per token that depends on its place; a template is the hashes of its tokens in one.
+        out = out.withColumn(c, F.transform(F.split(c, " "), lambda w, i: F.struct(w.alias("w"), F.xxhash64(w, i).alias("h"), F.xxhash64(F.lit("_"), i).alias("s"))))
+        out = out.withColumn(f"{c}w", F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x["h"])))
+        out = out.withColumn(f"{c}n", F.size(F.filter(c, lambda x: (x["w"] != "X") & x["w"].rlike(r"\p{L}"))))
+
+    def candidates(c: str, level: int):
+        opened = F.transform(F.filter(c, lambda x: (x["w"] != "X") & x["w"].rlike(r"^\p{Ll}")), lambda x: F.struct(F.lit(level + 1).alias("level"), F.col(f"{c}w").bitwiseXOR(x["h"]).bitwiseXOR(x["s"]).alias("tid")))
+        whole = F.array(F.struct(F.lit(level).alias("level"), F.col(f"{c}w").alias("tid")))
+        return F.when(F.col(f"{c}w").isNull(), none).when(F.col(f"{c}n") >= 3, F.concat(whole, opened)).otherwise(whole)
+
+    prefix = F.regexp_extract(F.lower("t"), r"^([^>/»|:]{1,30}?)\s*(?:[>/»|]|::?)", 1)
+    loose = F.when(prefix != "", F.array(F.struct(F.lit(5).alias("level"), F.xxhash64(prefix, F.lit("…")).alias("tid")))).otherwise(none)
+    exact = F.array(F.struct(F.lit(0).alias("level"), F.col("k").alias("tid")))
+    every = F.when(F.col("t").isNull(), exact).otherwise(F.concat(exact, candidates("_1", 1), candidates("_3", 3), loose))
+    return out.select(*[x for x in shapes.columns if x != "t"], every.alias("candidates"))
 
 
 def placed_lines(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> tuple[DataFrame, DataFrame, int]:
@@ -391,9 +386,7 @@ def line_templates(lines: DataFrame, sites: DataFrame) -> DataFrame:
     size = sites.agg(F.sum("pages").alias("pages"), F.count("*").alias("sites")).first()
     pages, n_sites = float(size["pages"] or 0), size["sites"] or 0
     shapes = lines.filter("not text").groupBy("site", "k").agg(F.count("*").alias("occurrences"), F.sum((F.col("zone") == 0).cast("long")).alias("i"), F.max("t").alias("t"))
-    none = F.array().cast("array<struct<level:int,tid:bigint>>")
-    exact = F.array(F.struct(F.lit(0).alias("level"), F.col("k").alias("tid")))
-    shapes = cut_lineage(shapes.select("site", "k", "occurrences", "i", F.concat(exact, F.when(F.col("t").isNotNull(), alignments(F.col("t"))).otherwise(none)).alias("candidates")))
+    shapes = cut_lineage(with_candidates(shapes))
     seen = shapes.select("site", "k", "occurrences", "i", F.explode("candidates").alias("c")).select("site", "k", "occurrences", "i", "c.level", "c.tid")
     by_site = seen.groupBy("level", "tid", "site").agg(F.sum("occurrences").alias("o"), F.sum("i").alias("i")).join(sites.select("site", "pages"), "site")
     o, p = F.col("o").cast("double"), F.col("pages").cast("double")

@@ -79,21 +79,24 @@ class Slot:
 
 def collapsed(stream: list[int]) -> list[tuple[int, bool, list[int]]]:
     """(sign, repeated, places) of a stream in which a block of up to ``BLOCK`` signs that follows itself is one block."""
-    out: list[tuple[int, bool, list[int]]] = []
+    signs: list[int] = []
+    repeated: list[bool] = []
+    places: list[list[int]] = []
     for at, sign in enumerate(stream):
-        out.append((sign, False, [at]))
-        again = True
-        while again:
-            again = False
-            for n in range(1, min(BLOCK, len(out) // 2) + 1):
-                if all(out[-n + i][0] == out[-2 * n + i][0] for i in range(n)):
-                    for i in range(n):
-                        s, _, places = out[-2 * n + i]
-                        out[-2 * n + i] = (s, True, places + out[-n + i][2])
-                    del out[-n:]
-                    again = True
-                    break
-    return out
+        signs.append(sign)
+        repeated.append(False)
+        places.append([at])
+        n = 1
+        while n <= BLOCK and 2 * n <= len(signs):
+            if signs[-1] == signs[-1 - n] and signs[-n:] == signs[-2 * n : -n]:
+                for i in range(-n, 0):
+                    repeated[i - n] = True
+                    places[i - n] = places[i - n] + places[i]
+                del signs[-n:], repeated[-n:], places[-n:]
+                n = 1
+            else:
+                n += 1
+    return list(zip(signs, repeated, places))
 
 
 class Wrapper:
@@ -131,35 +134,24 @@ class Wrapper:
 
     def fold(self, other: Wrapper) -> None:
         """Takes another wrapper (a page is one) in: mismatches become optional elements, the rest slots."""
-        places = self.align([e.symbol for e in other.elements])
-        elements, slots, done = [], [], 0
-        carried = Slot()  # slots of the other side wait for the next element
-        for (e, place), slot in zip(zip(other.elements, places), other.slots):
-            carried = Slot(carried.text + slot.text, carried.free + slot.free)
-            if place < 0:
-                # The mismatch goes before what this side still has up to the next match.
-                elements.append(Element(e.symbol, e.pages, e.repeats, list(e.zones)))
-                slots.append(carried)
-                carried = Slot()
+        at, new = 0, []
+        for e, place, slot in zip(other.elements, self.align([e.symbol for e in other.elements]), other.slots):
+            if place < 0:  # it goes before what this side still has up to the next match
+                new.append((at, Element(e.symbol, e.pages, e.repeats, list(e.zones)), Slot(slot.text, slot.free)))
                 continue
-            for i in range(done, place + 1):
-                mine = self.slots[i]
-                slots.append(Slot(mine.text + carried.text, mine.free + carried.free))
-                carried = Slot()
-                elements.append(self.elements[i])
-            old = self.elements[place]
+            mine, old = self.slots[at], self.elements[place]
+            mine.text, mine.free = mine.text + slot.text, mine.free + slot.free
             old.pages, old.repeats = old.pages + e.pages, old.repeats + e.repeats
-            old.zones = [a + b for a, b in zip(old.zones, e.zones)]
-            done = place + 1
-        for i in range(done, len(self.elements)):
-            elements.append(self.elements[i])
-            slots.append(Slot(self.slots[i].text + carried.text, self.slots[i].free + carried.free))
-            carried = Slot()
-        rest, last = self.slots[-1], other.slots[-1]
-        slots.append(Slot(rest.text + last.text + carried.text, rest.free + last.free + carried.free))
-        if len(elements) != len(self.elements):
+            old.zones = [x + y for x, y in zip(old.zones, e.zones)]
+            at = place + 1
+        mine, last = self.slots[at], other.slots[-1]
+        mine.text, mine.free = mine.text + last.text, mine.free + last.free
+        for i, e, slot in reversed(new):
+            self.elements.insert(i, e)
+            self.slots.insert(i, slot)
+        if new:
             self._at = None
-        self.elements, self.slots, self.pages = elements, slots, self.pages + other.pages
+        self.pages += other.pages
 
     @classmethod
     def of_page(cls, stream: list[int], zones: list[int]) -> Wrapper:
@@ -224,26 +216,22 @@ def _rows_table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ELEMENT_SCHEMA)], schema=_ELEMENT_SCHEMA)
 
 
-def _pages_of(table: pa.Table) -> Iterator[tuple[str, list[dict]]]:
-    """The pages of a group with their lines in order."""
+def _pages_of(table: pa.Table) -> Iterator[tuple[str, tuple[list, ...]]]:
+    """The pages of a group: the id, and the other columns with the lines in order."""
     table = table.take(pc.sort_indices(table, [("document_id", "ascending"), ("no", "ascending")]))
-    columns = {c: table.column(c).to_pylist() for c in table.column_names}
-    names, ids = [c for c in columns if c not in ("document_id", "site", "part")], columns["document_id"]
+    ids = table.column("document_id").to_pylist()
+    columns = [table.column(c).to_pylist() for c in table.column_names if c not in ("document_id", "site", "part")]
     start = 0
     for i in range(1, len(ids) + 1):
         if i == len(ids) or ids[i] != ids[start]:
-            yield ids[start], [{n: columns[n][j] for n in names} for j in range(start, i)]
+            yield ids[start], tuple(c[start:i] for c in columns)
             start = i
 
 
-def _stream(lines: list[dict]) -> list[int]:
-    return [TEXT if x["text"] else x["symbol"] if x["supported"] else FREE for x in lines]
-
-
 def _fold_pages(key: tuple, table: pa.Table) -> pa.Table:
     w = Wrapper()
-    for _, lines in _pages_of(table):
-        w.fold(Wrapper.of_page(_stream(lines), [x["zone"] for x in lines]))
+    for _, (_, signs, zones) in _pages_of(table.select(["document_id", "no", "sign", "zone"])):
+        w.fold(Wrapper.of_page(signs, zones))
     return _rows_table(_to_rows(key[0].as_py(), key[1].as_py(), w))
 
 
@@ -261,42 +249,35 @@ LABELS = "document_id string, line_no int, furniture boolean"
 
 
 def _label_pages(key: tuple, pages: pa.Table, elements: pa.Table) -> pa.Table:
-    """Matches pages with the wrapper of their host."""
+    """Matches pages, without their running text, with the wrapper of their host."""
     wrapper = _from_rows(elements.to_pylist())
-    zones, ids, numbers, labels = wrapper.zones(), [], [], []
-    for record, lines in _pages_of(pages):
-        stream = _stream(lines)
-        tokens = [(s, places) for s, _, places in collapsed(stream)]
-        symbols = [(s, places) for s, places in tokens if s not in (TEXT, FREE)]
-        matched = {at for (_, places), p in zip(symbols, wrapper.align([s for s, _ in symbols])) if p >= 0 for at in places}
-        verdicts: list[bool | None] = []
+    zones = {s: z[1] / sum(z) for s, z in wrapper.zones().items()}
+    ids, numbers, labels = [], [], []
+    pages = pages.select(["document_id", "no", "sign", "zone", "n", "ends", "known", "exact", "inside", "own", "concentrated", "frequent"])
+    for record, columns in _pages_of(pages):
+        nos, signs, page_zones, sizes, ends, known, exact, inside, own, concentrated, frequent = columns
+        tokens = [(s, places) for s, _, places in collapsed(signs) if s != FREE]
+        matched = {at for (_, places), p in zip(tokens, wrapper.align([s for s, _ in tokens])) if p >= 0 for at in places}
         frame_from = None
-        for at, x in enumerate(lines):
-            own, frame, furniture = bool(x["own"]), False, None
-            if not x["text"] and x["symbol"] is not None:
-                if at in matched:
-                    before, inside, after = zones[x["symbol"]]
-                    share = inside / (before + inside + after)
-                else:  # the host has too little of it: as on all hosts
-                    share = x["inside"]
-                frame = share < INSIDE
-                furniture = frame or own or bool(x["frequent"])
-                if furniture and not frame and not x["exact"] and x["ends"] and x["n"] >= 8 and not x["concentrated"]:
+        for at, no in enumerate(nos):
+            zone = page_zones[at]
+            if known[at]:
+                # What the host has too little of is read as on all hosts.
+                frame = (zones[signs[at]] if at in matched else inside[at]) < INSIDE
+                furniture = frame or own[at] or frequent[at]
+                if furniture and not frame and not exact[at] and ends[at] and sizes[at] >= 8 and not concentrated[at]:
                     furniture = False  # a sentence with slots needs the plainer sign: its author's style may differ by host
-                if frame and furniture and x["zone"] == 1 and frame_from is None:
-                    frame_from = x["no"]
-            verdicts.append(furniture)
-        for x, furniture in zip(lines, verdicts):
-            if furniture is None:  # slots: running text, and free lines by their place
-                if x["text"] or x["zone"] == 0:
-                    furniture = False
-                elif x["zone"] == 1:
-                    furniture = frame_from is not None and x["no"] > frame_from
-                else:
-                    furniture = not (x["ends"] and x["n"] >= 6)
-            ids.append(record)
-            numbers.append(x["no"])
+                if frame and zone == 1 and frame_from is None:
+                    frame_from = no
+            elif zone == 0:  # slots: free lines by their place
+                furniture = False
+            elif zone == 1:
+                furniture = frame_from is not None and no > frame_from
+            else:
+                furniture = not (ends[at] and sizes[at] >= 6)
             labels.append(furniture)
+        ids += [record] * len(nos)
+        numbers += nos
     return pa.table([pa.array(ids, pa.string()), pa.array(numbers, pa.int32()), pa.array(labels, pa.bool_())], names=["document_id", "line_no", "furniture"])
 
 
@@ -365,7 +346,8 @@ def placed_lines(articles: DataFrame, *, record: str = "document_id", url: str =
     lines = cut_lineage(page_lines(articles, record=record, url=url, body=body))
     sites = cut_lineage(lines.groupBy("site").agg(F.sum(F.col("first").cast("long")).alias("pages"), F.count("*").alias("lines")))
     total = sites.agg(F.sum("lines")).first()[0] or 0
-    counts = lines.groupBy("site", "k").agg(F.count("*").alias("o"), F.max("n").alias("n")).filter(F.col("o") >= MIN_PAGES).join(sites, "site")
+    counts = lines.groupBy("site", "k").agg(F.count("*").alias("o"), F.max("n").alias("n")).filter(F.col("o") >= MIN_PAGES)
+    counts = join_spread(counts, sites, ["site"], weight="lines", total=total, value="s").select("site", "k", "o", "n", "s.pages")
     share = F.when(F.col("n") > SHORT, LONG_CONSTANT_SHARE).otherwise(CONSTANT_SHARE)
     constants = counts.filter(F.col("o") >= share * F.col("pages")).select("site", "k", "o")
     joined = join_spread(lines, constants, ["site", "k"], weight="o", total=total, value="c")
@@ -383,12 +365,13 @@ def placed_lines(articles: DataFrame, *, record: str = "document_id", url: str =
 def line_templates(lines: DataFrame, sites: DataFrame) -> DataFrame:
     """``site, k, occurrences, symbol, exact, supported, inside, own, concentrated, frequent`` of each line shape of a host that
     aligns with a template: ``supported`` where the host itself has enough of it, the others as on all hosts."""
-    size = sites.agg(F.sum("pages").alias("pages"), F.count("*").alias("sites")).first()
+    size = sites.agg(F.sum("pages").alias("pages"), F.sum("lines").alias("lines"), F.count("*").alias("sites")).first()
     pages, n_sites = float(size["pages"] or 0), size["sites"] or 0
     shapes = lines.filter("not text").groupBy("site", "k").agg(F.count("*").alias("occurrences"), F.sum((F.col("zone") == 0).cast("long")).alias("i"), F.max("t").alias("t"))
     shapes = cut_lineage(with_candidates(shapes))
     seen = shapes.select("site", "k", "occurrences", "i", F.explode("candidates").alias("c")).select("site", "k", "occurrences", "i", "c.level", "c.tid")
-    by_site = seen.groupBy("level", "tid", "site").agg(F.sum("occurrences").alias("o"), F.sum("i").alias("i")).join(sites.select("site", "pages"), "site")
+    by_site = seen.groupBy("level", "tid", "site").agg(F.sum("occurrences").alias("o"), F.sum("i").alias("i"))
+    by_site = join_spread(by_site, sites, ["site"], weight="lines", total=int(size["lines"] or 0), value="s").select("level", "tid", "site", "o", "i", "s.pages")
     o, p = F.col("o").cast("double"), F.col("pages").cast("double")
     stats = by_site.groupBy("level", "tid").agg(F.sum("o").alias("total"), F.sum("i").alias("i"), F.sum(o * o / p).alias("q"), F.max(o / p).alias("share"), F.count("*").alias("hosts"))
     stats = stats.filter(F.col("total") >= MIN_PAGES)
@@ -405,7 +388,7 @@ def line_templates(lines: DataFrame, sites: DataFrame) -> DataFrame:
     rank = F.struct((~F.col("sure")).alias("a"), (-F.col("total")).alias("b"), "level", "tid", "supported", "frequent", "inside", "own", "concentrated")
     best = hit.groupBy("site", "k").agg(F.max("occurrences").alias("occurrences"), F.min(rank).alias("b"))
     # A template is one sign of the streams; the small numbers are the other signs.
-    symbol = F.xxhash64("b.level", "b.tid").bitwiseAND(F.lit(~3))
+    symbol = F.xxhash64("b.level", "b.tid").bitwiseAND(F.lit(~3)).bitwiseOR(F.lit(4))
     return cut_lineage(best.select("site", "k", "occurrences", symbol.alias("symbol"), (F.col("b.level") == 0).alias("exact"), "b.supported", "b.frequent", "b.inside", "b.own", "b.concentrated"))
 
 
@@ -414,11 +397,13 @@ def _wrapped(articles: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame,
     lines, sites, total = placed_lines(articles, **columns)
     templates = line_templates(lines, sites)
     marked = join_spread(lines.drop("t"), templates, ["site", "k"], weight="occurrences", total=total, value="v")
-    slim = marked.select("document_id", "site", "no", "n", "ends", "text", "zone", "v.symbol", "v.exact", F.coalesce("v.supported", F.lit(False)).alias("supported"), "v.frequent", "v.inside", "v.own", "v.concentrated")
+    sign = F.when(F.col("text"), TEXT).when(F.col("v.supported"), F.col("v.symbol")).otherwise(FREE).cast("bigint")
+    known = ~F.col("text") & F.col("v.symbol").isNotNull()
+    slim = marked.select("document_id", "site", "no", "n", "ends", "text", "zone", sign.alias("sign"), known.alias("known"), "v.exact", "v.frequent", "v.inside", "v.own", "v.concentrated")
     parts = F.ceil(F.col("pages") / PART).cast("int")
-    part = F.pmod(F.xxhash64("document_id"), parts).cast("int")
-    marked = cut_lineage(slim.join(sites.select("site", "pages"), "site").withColumn("part", part).drop("pages"))
-    wrappers = cut_lineage(marked.select("document_id", "site", "part", "no", "text", "zone", "symbol", "supported").groupBy("site", "part").applyInArrow(_fold_pages, ELEMENTS))
+    marked = join_spread(slim, sites.select("site", "lines", parts.alias("parts")), ["site"], weight="lines", total=total, value="s")
+    marked = cut_lineage(marked.withColumn("part", F.pmod(F.xxhash64("document_id"), F.col("s.parts")).cast("int")).drop("s"))
+    wrappers = cut_lineage(marked.select("document_id", "site", "part", "no", "sign", "zone").groupBy("site", "part").applyInArrow(_fold_pages, ELEMENTS))
     left = sites.agg(F.max(parts)).first()[0] or 0
     while left > 1:
         wrappers = cut_lineage(wrappers.withColumn("to", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("site", "to").applyInArrow(_fold_wrappers, ELEMENTS))
@@ -435,7 +420,8 @@ def label_lines(articles: DataFrame, *, record: str = "document_id", url: str =
     marked, wrappers, sites = _wrapped(articles, record=record, url=url, body=body)
     parts = sites.select(F.col("site").alias("s"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("pages") / PART).cast("int") - 1)).alias("p"))
     everywhere = parts.join(wrappers, F.col("s") == F.col("site")).withColumn("part", F.col("p")).drop("s", "p")
-    return marked.groupBy("site", "part").cogroup(everywhere.groupBy("site", "part")).applyInArrow(_label_pages, LABELS)
+    lines = marked.filter("not text").drop("text").groupBy("site", "part").cogroup(everywhere.groupBy("site", "part"))
+    return lines.applyInArrow(_label_pages, LABELS).unionByName(marked.filter("text").select("document_id", F.col("no").alias("line_no"), F.lit(False).alias("furniture")))
 
 
 def host_wrappers(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> DataFrame:

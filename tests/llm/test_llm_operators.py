@@ -170,14 +170,32 @@ def test_links_against_brute_force(spark):
     sets = {k: shingles(t) for k, t in texts.items()}
     want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
     assert {tuple(r) for r in near_duplicates.linked_records(members, links).collect()} == want
-    star = {tuple(r) for r in near_duplicates.linked_records(members, links, expanded=1).collect()}
-    assert star <= want and {x for p in star for x in p} == {x for p in want for x in p}
+    star = [tuple(r) for r in near_duplicates.linked_records(members, links, copies="star").collect()]
+    assert set(star) <= want and len(star) == len(set(star)) and {x for p in star for x in p} == {x for p in want for x in p}
+    in_blocks = near_duplicates.near_duplicates(df, record="id", text="text", block=2)
+    pairs = [tuple(r) for r in near_duplicates.linked_records(*in_blocks, block=2).collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
     classes = {r.id: r for r in near_duplicates.classes_with_links(members, links).collect()}
     assert set(classes) == set(texts) and all(texts[r.class_id] == texts[k] for k, r in classes.items())
     empty = near_duplicates.near_duplicates(df.limit(0), record="id", text="text")
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
+def test_pairs_of_a_hot_group_are_whole(spark):
+    df = spark.createDataFrame([("k", f"{i:03d}", i) for i in range(50)] + [("l", "a", 1), ("l", "b", 2), ("m", "c", 3)], "key string, id string, size int")
+    for block in (1, 7, 49, 1000):
+        got = [tuple(r) for r in near_duplicates.pairs_within(df, "key", block=block).collect()]
+        want = {(f"{i:03d}", f"{j:03d}", i, j) for i in range(50) for j in range(i + 1, 50)} | {("a", "b", 1, 2)}
+        assert len(got) == len(want) and {(r[0], r[2], r[1], r[3]) if isinstance(r[1], int) else r for r in got} == want
+
+
+def test_large_disjoint_sets_have_no_common_coordinates():
+    rng = np.random.default_rng(2)
+    x, y = (np.unique(rng.integers(-(2**63), 2**63 - 1, 300_000)) for _ in range(2))
+    assert (near_duplicates.signature(x) == near_duplicates.signature(y)).mean() <= 0.01
+    assert len(np.unique(near_duplicates.permuted(np.arange(100_000), near_duplicates.PI))) == 100_000
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(-(2**63), 2**63 - 1, 600)

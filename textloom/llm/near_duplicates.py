@@ -1,39 +1,45 @@
 """Near-duplicate texts: circulant MinHash, banding, exact Jaccard verification.
 
 A text is the set of its sequences of consecutive words.  One permutation (sigma) scatters
-the hashed sequences over a ring, a second one (pi), shifted by k places, gives coordinate k
-of the signature: two permutations stand for all coordinates.  Texts with the same set are
-one class with one representative; only representatives are banded.  Pairs that share a band
-are verified on their whole sets, so nothing that is found is an estimate.
+the hashed sequences over a ring of 2^32 places, a second one (pi), shifted by k places, gives
+coordinate k of the signature: two permutations stand for all coordinates.  Both are bijections
+made of odd multiplications and shifts, so no table is held.  Texts with the same set are one class with
+one representative; only representatives are banded.  A band with more than ``BLOCK`` texts is
+compared block by block, so it is split over tasks.  Pairs that share a band are verified on their
+whole sets, so nothing that is found is an estimate.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.lines import join_spread
 from textloom.runtime import cut_lineage
 
 WIDTH = 3  # words in a sequence
 THRESHOLD = 0.7
 BANDS, ROWS = 28, 4  # a pair at 0.7 is missed with a probability of 0.0005, one at 0.8 of 4e-7
-RING = 1 << 18
-SEED = 20240131
-EXPANDED = 100  # members up to which a class of exact copies is written out pair by pair
+BLOCK = 1_000  # texts of one band, or copies of one class, that one task compares with as many others
+AT_ONCE = 4_096  # sequences whose coordinates are computed at once
+SIGMA, PI = (0x9E3779B1, 0x85EBCA6B), (0xC2B2AE35, 0x27D4EB2F)  # odd factors of the two permutations
 WORD = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=1)
-def permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return rng.permutation(RING).astype(np.int32), rng.permutation(RING).astype(np.int32)
+def permuted(places: np.ndarray, factors: tuple[int, int]) -> np.ndarray:
+    """A permutation of the ring of 2^32 places."""
+    x = places.astype(np.uint32)
+    for f in factors:
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(f)
+    x ^= x >> np.uint32(15)
+    return x
 
 
 class Shingler:
@@ -64,15 +70,17 @@ class Shingler:
 
 def signature(shingles: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
     """Circulant MinHash of a non-empty set of 64-bit hashes."""
-    sigma, pi = permutations()
-    at = sigma[(shingles.view(np.uint64) & np.uint64(RING - 1)).astype(np.int64)]
-    shifts = np.arange(1, coordinates + 1, dtype=np.int32)
-    return pi[(at[None, :] - shifts[:, None]) & (RING - 1)].min(axis=1)
+    at = permuted(shingles.view(np.uint64) >> np.uint64(32), SIGMA)
+    shifts = np.arange(1, coordinates + 1, dtype=np.uint32)[:, None]
+    out = np.full(coordinates, 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(0, len(at), AT_ONCE):
+        np.minimum(out, permuted(at[None, i : i + AT_ONCE] - shifts, PI).min(axis=1), out=out)
+    return out
 
 
 def bands(sig: np.ndarray) -> list[int]:
     """One 64-bit key per band; the band's number is part of it."""
-    rows = sig.reshape(-1, ROWS).astype("<i4")
+    rows = sig.reshape(-1, ROWS).astype("<u4")
     return [xxhash.xxh3_64_intdigest(r.tobytes(), seed=i) - (1 << 63) for i, r in enumerate(rows)]
 
 
@@ -100,7 +108,29 @@ def _sets(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def near_duplicates(texts: DataFrame, *, record: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def pairs_within(rows: DataFrame, key: str, *, block: int = BLOCK) -> DataFrame:
+    """``id_1, id_2, s1, s2`` of all pairs of ``rows(key, id, size)`` with the same key, ``id_1 < id_2``.
+
+    A group of up to ``block`` rows is joined with itself; a larger one is cut into blocks, and each pair
+    of blocks is a task's work of its own.
+    """
+    counted = rows.select(key, "id", "size").withColumn("m", F.count("*").over(Window.partitionBy(key)))
+    few, many = counted.filter(F.col("m").between(2, block)), counted.filter(F.col("m") > block)
+    left, right = (few.select(key, F.col("id").alias(f"id_{i}"), F.col("size").alias(f"s{i}")) for i in (1, 2))
+    small = left.join(right, key).filter("id_1 < id_2").drop(key)
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    placed = many.withColumn("b", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    ids = lambda i: (F.col("id").alias(f"id_{i}"), F.col("size").alias(f"s{i}"))
+    left = placed.select(key, F.col("b").alias("x"), F.explode(F.sequence("b", blocks - 1)).alias("y"), *ids(1))
+    right = placed.select(key, F.explode(F.sequence(F.lit(0), "b")).alias("x"), F.col("b").alias("y"), *ids(2))
+    crossed = left.join(right, [key, "x", "y"]).filter("x < y or id_1 < id_2")
+    swap = F.col("id_1") > F.col("id_2")
+    pick = lambda a, b, name: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name)
+    large = crossed.select(pick("id_1", "id_2", "id_1"), pick("s1", "s2", "s1"), pick("id_2", "id_1", "id_2"), pick("s2", "s1", "s2"))
+    return small.unionByName(large)
+
+
+def near_duplicates(texts: DataFrame, *, record: str, text: str, width: int = WIDTH, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``id, representative, copies`` of every text with a sequence, and
     ``id_1, id_2, jaccard`` of every pair of representatives at or above ``threshold``, ``id_1 < id_2``.
 
@@ -109,39 +139,42 @@ def near_duplicates(texts: DataFrame, *, record: str, text: str, width: int = WI
     """
     slim = texts.select(F.col(record).cast("string").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
     signed = cut_lineage(slim.mapInArrow(_signatures(width), "id string, class string, size int, bands array<bigint>"))
-    classes = signed.groupBy("class").agg(F.min("id").alias("representative"), F.count_distinct("id").alias("copies"))
-    members = signed.select("id", "class").distinct().join(classes, "class").select("id", "representative", "copies")
-    reps = signed.groupBy("class").agg(F.min_by(F.struct("id", "size", "bands"), "id").alias("r")).select("r.*")
-    keys = reps.select("id", "size", F.explode("bands").alias("band"))
-    # A link needs sizes within the threshold of one another; texts alone in a band drop out in the join.
-    a, b = keys.select(F.col("id").alias("id_1"), F.col("size").alias("s1"), "band"), keys.select(F.col("id").alias("id_2"), F.col("size").alias("s2"), "band")
-    near = (F.col("id_1") < F.col("id_2")) & (F.least("s1", "s2") >= threshold * F.greatest("s1", "s2"))
-    pairs = cut_lineage(a.join(b, "band").filter(near).select("id_1", "id_2").distinct())
+    ids = signed.select("id", "class").distinct()
+    classes = ids.groupBy("class").agg(F.min("id").alias("representative"), F.count("*").alias("copies"))
+    members = join_spread(ids, classes, ["class"], weight="copies", total=signed.count(), value="c").select("id", "c.representative", "c.copies", "class")
+    members = cut_lineage(members)
+    first = members.filter("id = representative").select("id", "class")
+    reps = signed.join(first, ["id", "class"], "left_semi").dropDuplicates(["id", "class"])
+    # A link needs sizes within the threshold of one another; texts alone in a band drop out.
+    near = F.least("s1", "s2") >= threshold * F.greatest("s1", "s2")
+    pairs = cut_lineage(pairs_within(reps.select("id", "size", F.explode("bands").alias("band")), "band", block=block).filter(near).select("id_1", "id_2").distinct())
     wanted = pairs.select(F.col("id_1").alias("id")).unionByName(pairs.select(F.col("id_2").alias("id"))).distinct()
     sets = slim.dropDuplicates(["id"]).join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id string, shingles array<bigint>")
     both = pairs.join(sets.select(F.col("id").alias("id_1"), F.col("shingles").alias("x")), "id_1").join(sets.select(F.col("id").alias("id_2"), F.col("shingles").alias("y")), "id_2")
     common = F.size(F.array_intersect("x", "y"))
     jaccard = common / (F.size("x") + F.size("y") - common)
     links = both.select("id_1", "id_2", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
-    return members, links
-
-
-def linked_records(members: DataFrame, links: DataFrame, *, expanded: int = EXPANDED) -> DataFrame:
-    """``id_1, id_2``: links between records.  Classes of up to ``expanded`` exact copies are written out
-    pair by pair; of a larger one the representative stands for the copies, each linked to it."""
-    small = members.filter(F.col("copies") <= expanded)
-    active = small.select("id", "representative").unionByName(members.filter(F.col("copies") > expanded).groupBy("representative").agg(F.first("representative").alias("id")).select("id", "representative"))
-    crossing = (
-        links.select("id_1", "id_2")
-        .join(active.select(F.col("representative").alias("id_1"), F.col("id").alias("m1")), "id_1")
-        .join(active.select(F.col("representative").alias("id_2"), F.col("id").alias("m2")), "id_2")
-        .select("m1", "m2")
-    )
-    copies = small.filter("copies > 1").select("representative", F.col("id").alias("m1"))
-    within = copies.join(copies.select("representative", F.col("m1").alias("m2")), "representative").filter("m1 < m2").select("m1", "m2")
-    star = members.filter((F.col("copies") > expanded) & (F.col("id") != F.col("representative"))).select(F.col("representative").alias("m1"), F.col("id").alias("m2"))
-    every = crossing.unionByName(within).unionByName(star)
-    return every.select(F.least("m1", "m2").alias("id_1"), F.greatest("m1", "m2").alias("id_2")).distinct()
+    return members.drop("class"), links
+
+
+def linked_records(members: DataFrame, links: DataFrame, *, copies: str = "pairs", block: int = BLOCK) -> DataFrame:
+    """``id_1, id_2``: links between records, ``id_1 < id_2``.
+
+    With ``copies="pairs"`` every pair of records whose texts are linked or copies of one another, whatever
+    the size of a class.  With ``"star"`` the representative stands for its copies: links run between
+    representatives, and each copy is linked to its representative.  No pair comes twice.
+    """
+    if copies == "star":
+        star = members.filter(F.col("id") != F.col("representative")).select(F.col("representative").alias("id_1"), F.col("id").alias("id_2"))
+        return links.select("id_1", "id_2").unionByName(star)
+    if copies != "pairs":
+        raise ValueError(copies)
+    several = members.filter("copies > 1").select("representative", "id")
+    within = pairs_within(several.withColumn("size", F.lit(0)), "representative", block=block).select("id_1", "id_2")
+    # Links of two texts without copies stand as they are.
+    of = [several.select(F.col("representative").alias(f"id_{i}"), F.col("id").alias(f"m{i}")) for i in (1, 2)]
+    crossing = links.select("id_1", "id_2").join(of[0], "id_1", "left").join(of[1], "id_2", "left").select(F.coalesce("m1", "id_1").alias("m1"), F.coalesce("m2", "id_2").alias("m2"))
+    return within.unionByName(crossing.select(F.least("m1", "m2").alias("id_1"), F.greatest("m1", "m2").alias("id_2")))
 
 
 def classes_with_links(members: DataFrame, links: DataFrame) -> DataFrame:

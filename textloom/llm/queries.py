@@ -85,7 +85,7 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return wrapper.label_lines(load(spark, d, "articles")).filter("furniture").select("document_id", "line_no")
+    return wrapper.furniture_lines(load(spark, d, "articles"))
 
 
 @query("p3_wrappers")

@@ -53,6 +53,7 @@ PART = 1_000  # pages that are folded by one task at a time
 FAN_IN = 32  # wrappers that are folded into one by one task at a time
 BLOCK = 3  # longest block that is recognised as repeated
 SENTENCE = r"[.!?…][\"”’»')\]]*$"
+FLAGS = ("supported", "frame", "own", "concentrated", "frequent", "exact")
 TEXT, FREE = 1, 2  # stream signs of running text and of a short line without a template
 
 
@@ -245,47 +246,51 @@ def _fold_wrappers(key: tuple, table: pa.Table) -> pa.Table:
     return _rows_table(_to_rows(key[0].as_py(), key[1].as_py(), w))
 
 
-LABELS = "document_id string, line_no int, furniture boolean"
+LABELS = "document_id string, furniture array<int>, kept array<int>"
+_LABELS_SCHEMA = pa.schema([("document_id", pa.string()), ("furniture", pa.list_(pa.int32())), ("kept", pa.list_(pa.int32()))])
 
 
 def _label_pages(key: tuple, pages: pa.Table, elements: pa.Table) -> pa.Table:
-    """Matches pages, without their running text, with the wrapper of their host."""
+    """Matches pages, without their running text, with the wrapper of their host; the numbers of their lines by label."""
     wrapper = _from_rows(elements.to_pylist())
     zones = {s: z[1] / sum(z) for s, z in wrapper.zones().items()}
-    ids, numbers, labels = [], [], []
-    pages = pages.select(["document_id", "no", "sign", "zone", "n", "ends", "known", "exact", "inside", "own", "concentrated", "frequent"])
-    for record, columns in _pages_of(pages):
-        nos, signs, page_zones, sizes, ends, known, exact, inside, own, concentrated, frequent = columns
+    _, is_frame, is_own, is_concentrated, is_frequent, is_exact = (1 << i for i in range(len(FLAGS)))
+    ids, gone, left = [], [], []
+    for record, (nos, signs, page_zones, sizes, ends, flags) in _pages_of(pages.select(["document_id", "no", "sign", "zone", "n", "ends", "flags"])):
         tokens = [(s, places) for s, _, places in collapsed(signs) if s != FREE]
         matched = {at for (_, places), p in zip(tokens, wrapper.align([s for s, _ in tokens])) if p >= 0 for at in places}
-        frame_from = None
+        frame_from, furniture, kept = None, [], []
         for at, no in enumerate(nos):
-            zone = page_zones[at]
-            if known[at]:
+            zone, f = page_zones[at], flags[at]
+            if f is not None:
                 # What the host has too little of is read as on all hosts.
-                frame = (zones[signs[at]] if at in matched else inside[at]) < INSIDE
-                furniture = frame or own[at] or frequent[at]
-                if furniture and not frame and not exact[at] and ends[at] and sizes[at] >= 8 and not concentrated[at]:
-                    furniture = False  # a sentence with slots needs the plainer sign: its author's style may differ by host
+                frame = zones[signs[at]] < INSIDE if at in matched else f & is_frame
+                label = frame or f & is_own or f & is_frequent
+                if label and not frame and not f & is_exact and ends[at] and sizes[at] >= 8 and not f & is_concentrated:
+                    label = False  # a sentence with slots needs the plainer sign: its author's style may differ by host
                 if frame and zone == 1 and frame_from is None:
                     frame_from = no
             elif zone == 0:  # slots: free lines by their place
-                furniture = False
+                label = False
             elif zone == 1:
-                furniture = frame_from is not None and no > frame_from
+                label = frame_from is not None and no > frame_from
             else:
-                furniture = not (ends[at] and sizes[at] >= 6)
-            labels.append(furniture)
-        ids += [record] * len(nos)
-        numbers += nos
-    return pa.table([pa.array(ids, pa.string()), pa.array(numbers, pa.int32()), pa.array(labels, pa.bool_())], names=["document_id", "line_no", "furniture"])
+                label = not (ends[at] and sizes[at] >= 6)
+            (furniture if label else kept).append(no)
+        ids.append(record)
+        gone.append(furniture)
+        left.append(kept)
+    return pa.table([pa.array(c, f.type) for c, f in zip((ids, gone, left), _LABELS_SCHEMA)], schema=_LABELS_SCHEMA)
 
 
 # ---- lines and their alignments
 
 
 def page_lines(articles: DataFrame, *, record: str, url: str, body: str) -> DataFrame:
-    """``document_id, site, no, n, k, ends, first, t``: non-blank lines once per document, digits as 0; ``t`` is null for long lines."""
+    """``document_id, site, no, n, k, ends, first, t``: non-blank lines once per document, digits as 0; ``t`` is null for long lines.
+
+    Of rows with the same record the one with the least (hash of the body, site) counts, as in ``main_text``.
+    """
 
     def shape(x, i):
         n = F.length(x["t"]) - F.length(F.replace(x["t"], F.lit(" "), F.lit(""))) + 1
@@ -297,10 +302,11 @@ def page_lines(articles: DataFrame, *, record: str, url: str, body: str) -> Data
     slim = articles.filter(F.col(record).isNotNull() & F.col(body).isNotNull()).select(
         F.col(record).cast("string").alias("document_id"),
         site_of(F.col(url)).alias("site"),
+        F.xxhash64(body).alias("h"),
         F.filter(numbered, lambda x: x["t"] != "").alias("lines"),
     )
-    shaped = slim.select("document_id", "site", F.transform("lines", shape).alias("lines"))
-    once = shaped.groupBy("document_id").agg(F.min(F.struct("site", "lines")).alias("x"))
+    shaped = slim.select("document_id", "h", "site", F.transform("lines", shape).alias("lines"))
+    once = shaped.groupBy("document_id").agg(F.min(F.struct("h", "site", "lines")).alias("x"))
     return once.select("document_id", "x.site", F.explode("x.lines").alias("l")).select("document_id", "site", "l.*")
 
 
@@ -346,11 +352,12 @@ def placed_lines(articles: DataFrame, *, record: str = "document_id", url: str =
     lines = cut_lineage(page_lines(articles, record=record, url=url, body=body))
     sites = cut_lineage(lines.groupBy("site").agg(F.sum(F.col("first").cast("long")).alias("pages"), F.count("*").alias("lines")))
     total = sites.agg(F.sum("lines")).first()[0] or 0
-    counts = lines.groupBy("site", "k").agg(F.count("*").alias("o"), F.max("n").alias("n")).filter(F.col("o") >= MIN_PAGES)
-    counts = join_spread(counts, sites, ["site"], weight="lines", total=total, value="s").select("site", "k", "o", "n", "s.pages")
+    lines = lines.withColumn("sk", F.xxhash64("site", "k"))  # keys of one number sort and compare fast
+    counts = lines.groupBy("sk", "site").agg(F.count("*").alias("o"), F.max("n").alias("n")).filter(F.col("o") >= MIN_PAGES)
+    counts = join_spread(counts, sites, ["site"], weight="lines", total=total, value="s").select("sk", "o", "n", "s.pages")
     share = F.when(F.col("n") > SHORT, LONG_CONSTANT_SHARE).otherwise(CONSTANT_SHARE)
-    constants = counts.filter(F.col("o") >= share * F.col("pages")).select("site", "k", "o")
-    joined = join_spread(lines, constants, ["site", "k"], weight="o", total=total, value="c")
+    constants = counts.filter(F.col("o") >= share * F.col("pages")).select("sk", "o")
+    joined = join_spread(lines, constants, ["sk"], weight="o", total=total, value="c")
     joined = joined.withColumn("constant", F.col("c").isNotNull()).drop("c")
     joined = joined.withColumn("text", ~F.col("constant") & ((F.col("n") >= 20) | (F.col("ends") & (F.col("n") >= 12))))
     page = Window.partitionBy("document_id")
@@ -359,47 +366,56 @@ def placed_lines(articles: DataFrame, *, record: str = "document_id", url: str =
     after = F.min(F.when(F.col("constant") & (F.col("no") > F.col("to")), F.col("no"))).over(page)
     zone = F.when(F.col("no") < F.col("from"), -1).when((F.col("no") > F.col("to")) & (F.col("constant") | (F.col("no") >= after)), 1).otherwise(0)
     t = F.when(~F.col("constant") & ~F.col("text"), F.col("t")).alias("t")
-    return cut_lineage(joined.select("document_id", "site", "no", "n", "k", "ends", "text", zone.alias("zone"), t)), sites, total
+    # A line's shape is what its templates depend on.
+    shape = F.xxhash64("site", "k", t)
+    return cut_lineage(joined.select("document_id", "site", "no", "n", "k", "ends", "text", zone.alias("zone"), shape.alias("shape"), t)), sites, total
 
 
 def line_templates(lines: DataFrame, sites: DataFrame) -> DataFrame:
-    """``site, k, occurrences, symbol, exact, supported, inside, own, concentrated, frequent`` of each line shape of a host that
-    aligns with a template: ``supported`` where the host itself has enough of it, the others as on all hosts."""
+    """``shape, occurrences, symbol, flags`` of each line shape of a host that aligns with a template.
+
+    ``flags`` has the bits of ``FLAGS``: ``supported`` where the host itself has enough of the template; the others, apart from
+    ``exact``, are as on all hosts.
+    """
     size = sites.agg(F.sum("pages").alias("pages"), F.sum("lines").alias("lines"), F.count("*").alias("sites")).first()
     pages, n_sites = float(size["pages"] or 0), size["sites"] or 0
-    shapes = lines.filter("not text").groupBy("site", "k").agg(F.count("*").alias("occurrences"), F.sum((F.col("zone") == 0).cast("long")).alias("i"), F.max("t").alias("t"))
+    shapes = lines.filter("not text").groupBy("shape", "site", "k", "t").agg(F.count("*").alias("occurrences"), F.sum((F.col("zone") == 0).cast("long")).alias("i"))
     shapes = cut_lineage(with_candidates(shapes))
-    seen = shapes.select("site", "k", "occurrences", "i", F.explode("candidates").alias("c")).select("site", "k", "occurrences", "i", "c.level", "c.tid")
-    by_site = seen.groupBy("level", "tid", "site").agg(F.sum("occurrences").alias("o"), F.sum("i").alias("i"))
-    by_site = join_spread(by_site, sites, ["site"], weight="lines", total=int(size["lines"] or 0), value="s").select("level", "tid", "site", "o", "i", "s.pages")
+    seen = shapes.select("shape", "site", "occurrences", "i", F.posexplode("candidates").alias("at", "c")).select("shape", "site", "occurrences", "i", "at", "c.level", "c.tid")
+    seen = seen.select("*", F.xxhash64("level", "tid").alias("template")).withColumn("local", F.xxhash64("site", "template"))
+    by_site = seen.groupBy("local", "template", "level", "site").agg(F.sum("occurrences").alias("o"), F.sum("i").alias("i"))
+    by_site = join_spread(by_site, sites, ["site"], weight="lines", total=int(size["lines"] or 0), value="s").select("local", "template", "level", "o", "i", "s.pages")
     o, p = F.col("o").cast("double"), F.col("pages").cast("double")
-    stats = by_site.groupBy("level", "tid").agg(F.sum("o").alias("total"), F.sum("i").alias("i"), F.sum(o * o / p).alias("q"), F.max(o / p).alias("share"), F.count("*").alias("hosts"))
+    stats = by_site.groupBy("template").agg(F.sum("o").alias("total"), F.sum("i").alias("i"), F.sum(o * o / p).alias("q"), F.max(o / p).alias("share"), F.count("*").alias("hosts"))
     stats = stats.filter(F.col("total") >= MIN_PAGES)
     total = F.col("total").cast("double")
     variation = F.lit(pages) * F.col("q") / (total * total) - 1 - F.lit(float(max(n_sites - 1, 0))) / total
     chance = F.lit((2.0 * max(n_sites - 1, 0)) ** 0.5) / total  # standard deviation of the variation of an evenly spread line
-    own = (variation >= F.greatest(F.lit(CONCENTRATED), BEYOND * chance)) | (variation >= F.greatest(F.lit(UNEVEN), FAR_BEYOND * chance))
-    stats = stats.select("level", "tid", "total", (F.col("i") / total).alias("inside"), F.coalesce(own & F.lit(n_sites > 1), F.lit(False)).alias("own"), (variation >= CONCENTRATED).alias("concentrated"), F.col("share").alias("top_share"), (F.col("total") >= SURE * F.col("hosts")).alias("sure"))
-    local = by_site.select("site", "level", "tid", "o", "pages").join(stats, ["level", "tid"])
+    own = F.lit(n_sites > 1) & ((variation >= F.greatest(F.lit(CONCENTRATED), BEYOND * chance)) | (variation >= F.greatest(F.lit(UNEVEN), FAR_BEYOND * chance)))
+    stats = stats.select("template", "total", (F.col("i") / total < INSIDE).alias("frame"), own.alias("own"), (variation >= CONCENTRATED).alias("concentrated"), F.col("share").alias("top_share"), (F.col("total") >= SURE * F.col("hosts")).alias("sure"))
+    local = by_site.select("local", "template", "level", "o", "pages").join(stats, "template")
     supported = (F.col("o") >= MIN_PAGES) & (F.col("o") >= ELEMENT_SHARE * F.col("pages"))
     frequent = (F.col("level") == 0) & (F.when(supported, F.col("o") / F.col("pages")).otherwise(F.col("top_share")) >= FREQUENT)
-    local = local.select("site", "level", "tid", supported.alias("supported"), frequent.alias("frequent"), "inside", "own", "concentrated", "sure", "total")
-    hit = seen.select("site", "k", "occurrences", "level", "tid").join(local, ["site", "level", "tid"])
-    rank = F.struct((~F.col("sure")).alias("a"), (-F.col("total")).alias("b"), "level", "tid", "supported", "frequent", "inside", "own", "concentrated")
-    best = hit.groupBy("site", "k").agg(F.max("occurrences").alias("occurrences"), F.min(rank).alias("b"))
+    bits = {"supported": supported, "frame": F.col("frame"), "own": F.col("own"), "concentrated": F.col("concentrated"), "frequent": frequent, "exact": F.col("level") == 0}
+    flags = sum(F.when(bits[name], F.lit(1 << i)).otherwise(F.lit(0)) for i, name in enumerate(FLAGS))
+    local = local.select("local", flags.alias("flags"), "sure", F.least("total", F.lit((1 << 40) - 1)).alias("total"))
+    hit = seen.select("shape", "occurrences", "at", "template", "local").join(local, "local")
+    # The best template of a shape: a sure one, then the one with the most lines, then the closest; all in one number with the flags.
+    rank = F.when(F.col("sure"), F.lit(0)).otherwise(F.lit(1)).cast("bigint") * F.lit(1 << 60) + (F.lit((1 << 40) - 1) - F.col("total")) * F.lit(1 << 20) + F.col("at") * F.lit(1 << 8) + F.col("flags")
+    best = hit.withColumn("rank", rank).groupBy("shape").agg(F.max("occurrences").alias("occurrences"), F.min("rank").alias("rank"), F.min_by("template", "rank").alias("template"))
     # A template is one sign of the streams; the small numbers are the other signs.
-    symbol = F.xxhash64("b.level", "b.tid").bitwiseAND(F.lit(~3)).bitwiseOR(F.lit(4))
-    return cut_lineage(best.select("site", "k", "occurrences", symbol.alias("symbol"), (F.col("b.level") == 0).alias("exact"), "b.supported", "b.frequent", "b.inside", "b.own", "b.concentrated"))
+    symbol = F.col("template").bitwiseAND(F.lit(~3)).bitwiseOR(F.lit(4))
+    return cut_lineage(best.select("shape", "occurrences", symbol.alias("symbol"), F.pmod("rank", F.lit(1 << 8)).cast("int").alias("flags")))
 
 
 def _wrapped(articles: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines with their templates and part, wrapper elements, sites)."""
     lines, sites, total = placed_lines(articles, **columns)
     templates = line_templates(lines, sites)
-    marked = join_spread(lines.drop("t"), templates, ["site", "k"], weight="occurrences", total=total, value="v")
-    sign = F.when(F.col("text"), TEXT).when(F.col("v.supported"), F.col("v.symbol")).otherwise(FREE).cast("bigint")
-    known = ~F.col("text") & F.col("v.symbol").isNotNull()
-    slim = marked.select("document_id", "site", "no", "n", "ends", "text", "zone", sign.alias("sign"), known.alias("known"), "v.exact", "v.frequent", "v.inside", "v.own", "v.concentrated")
+    marked = join_spread(lines.drop("t", "k"), templates, ["shape"], weight="occurrences", total=total, value="v")
+    known = ~F.col("text") & F.col("v.flags").isNotNull()
+    sign = F.when(F.col("text"), TEXT).when(known & (F.col("v.flags").bitwiseAND(1) > 0), F.col("v.symbol")).otherwise(FREE).cast("bigint")
+    slim = marked.select("document_id", "site", "no", "n", "ends", "text", "zone", sign.alias("sign"), F.when(known, F.col("v.flags")).alias("flags"))
     parts = F.ceil(F.col("pages") / PART).cast("int")
     marked = join_spread(slim, sites.select("site", "lines", parts.alias("parts")), ["site"], weight="lines", total=total, value="s")
     marked = cut_lineage(marked.withColumn("part", F.pmod(F.xxhash64("document_id"), F.col("s.parts")).cast("int")).drop("s"))
@@ -411,17 +427,31 @@ def _wrapped(articles: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame,
     return marked, wrappers, sites
 
 
+def page_labels(articles: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
+    """(``document_id, furniture, kept``: the numbers of each page's lines by label, running text apart; all lines with ``text``)."""
+    marked, wrappers, sites = _wrapped(articles, **columns)
+    parts = sites.select(F.col("site").alias("s"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("pages") / PART).cast("int") - 1)).alias("p"))
+    everywhere = parts.join(wrappers, F.col("s") == F.col("site")).withColumn("part", F.col("p")).drop("s", "p")
+    lines = marked.filter("not text").drop("text").groupBy("site", "part").cogroup(everywhere.groupBy("site", "part"))
+    return lines.applyInArrow(_label_pages, LABELS), marked
+
+
+def furniture_lines(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> DataFrame:
+    """``document_id, line_no`` of the furniture: the lines that ``label_lines`` marks."""
+    pages, _ = page_labels(articles, record=record, url=url, body=body)
+    return pages.select("document_id", F.explode("furniture").alias("line_no"))
+
+
 def label_lines(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> DataFrame:
     """``document_id, line_no, furniture``: each non-blank line of each body.
 
     A null record or body gives no rows; repeated rows of a record count once.  A line that aligns with no
     template is running text inside the text, and after it until the page's frame begins; before it, only if it is a sentence.
     """
-    marked, wrappers, sites = _wrapped(articles, record=record, url=url, body=body)
-    parts = sites.select(F.col("site").alias("s"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("pages") / PART).cast("int") - 1)).alias("p"))
-    everywhere = parts.join(wrappers, F.col("s") == F.col("site")).withColumn("part", F.col("p")).drop("s", "p")
-    lines = marked.filter("not text").drop("text").groupBy("site", "part").cogroup(everywhere.groupBy("site", "part"))
-    return lines.applyInArrow(_label_pages, LABELS).unionByName(marked.filter("text").select("document_id", F.col("no").alias("line_no"), F.lit(False).alias("furniture")))
+    pages, lines = page_labels(articles, record=record, url=url, body=body)
+    pages = cut_lineage(pages)
+    of = [pages.select("document_id", F.explode(c).alias("line_no"), F.lit(c == "furniture").alias("furniture")) for c in ("furniture", "kept")]
+    return of[0].unionByName(of[1]).unionByName(lines.filter("text").select("document_id", F.col("no").alias("line_no"), F.lit(False).alias("furniture")))
 
 
 def host_wrappers(articles: DataFrame, *, record: str = "document_id", url: str = "final_url", body: str = "body") -> DataFrame:
@@ -438,10 +468,10 @@ def main_text(articles: DataFrame, *, record: str = "document_id", url: str = "f
 
     A document of furniture alone has an empty text; a null body gives no row.
     """
-    labels = label_lines(articles, record=record, url=url, body=body)
-    gone = labels.filter("furniture").groupBy("document_id").agg(F.collect_list("line_no").alias("gone"))
-    slim = articles.filter(F.col(record).isNotNull() & F.col(body).isNotNull()).select(F.col(record).alias("document_id"), site_of(F.col(url)).alias("site"), F.col(body).alias("body"))
-    once = slim.groupBy("document_id").agg(F.min(F.struct("site", "body")).alias("x")).select("document_id", "x.site", "x.body")
+    pages, _ = page_labels(articles, record=record, url=url, body=body)
+    gone = pages.select("document_id", F.col("furniture").alias("gone"))
+    slim = articles.filter(F.col(record).isNotNull() & F.col(body).isNotNull()).select(F.col(record).cast("string").alias("document_id"), F.xxhash64(body).alias("h"), site_of(F.col(url)).alias("site"), F.col(body).alias("body"))
+    once = slim.groupBy("document_id").agg(F.min(F.struct("h", "site", "body")).alias("x")).select("document_id", "x.site", "x.body")
     joined = once.join(gone, "document_id", "left")
     numbered = F.transform(F.split("body", "\n", -1), lambda x, i: F.struct((i + 1).alias("no"), F.rtrim(x).alias("line")))
     none = F.array().cast("array<int>")

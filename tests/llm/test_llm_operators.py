@@ -193,7 +193,7 @@ def test_large_disjoint_sets_have_no_common_coordinates():
     rng = np.random.default_rng(2)
     x, y = (np.unique(rng.integers(-(2**63), 2**63 - 1, 300_000)) for _ in range(2))
     assert (near_duplicates.signature(x) == near_duplicates.signature(y)).mean() <= 0.01
-    assert len(np.unique(near_duplicates.permuted(np.arange(100_000), near_duplicates.PI))) == 100_000
+    assert len(np.unique(near_duplicates.permuted(np.arange(100_000, dtype=np.uint32), near_duplicates.PI))) == 100_000
 
 
 def test_circulant_signature_estimates_jaccard():

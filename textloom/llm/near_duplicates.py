@@ -33,13 +33,11 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def permuted(places: np.ndarray, factors: tuple[int, int]) -> np.ndarray:
-    """A permutation of the ring of 2^32 places."""
-    x = places.astype(np.uint32)
-    for f in factors:
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(f)
-    x ^= x >> np.uint32(15)
-    return x
+    """A permutation of the ring of 2^32 places; changes ``places``."""
+    places *= np.uint32(factors[0])
+    places ^= places >> np.uint32(16)
+    places *= np.uint32(factors[1])
+    return places
 
 
 class Shingler:
@@ -70,7 +68,7 @@ class Shingler:
 
 def signature(shingles: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarray:
     """Circulant MinHash of a non-empty set of 64-bit hashes."""
-    at = permuted(shingles.view(np.uint64) >> np.uint64(32), SIGMA)
+    at = permuted((shingles.view(np.uint64) >> np.uint64(32)).astype(np.uint32), SIGMA)
     shifts = np.arange(1, coordinates + 1, dtype=np.uint32)[:, None]
     out = np.full(coordinates, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(at), AT_ONCE):
@@ -115,7 +113,8 @@ def pairs_within(rows: DataFrame, key: str, *, block: int = BLOCK) -> DataFrame:
     of blocks is a task's work of its own.
     """
     counted = rows.select(key, "id", "size").withColumn("m", F.count("*").over(Window.partitionBy(key)))
-    few, many = counted.filter(F.col("m").between(2, block)), counted.filter(F.col("m") > block)
+    counted = cut_lineage(counted.filter("m > 1"))
+    few, many = counted.filter(F.col("m") <= block), counted.filter(F.col("m") > block)
     left, right = (few.select(key, F.col("id").alias(f"id_{i}"), F.col("size").alias(f"s{i}")) for i in (1, 2))
     small = left.join(right, key).filter("id_1 < id_2").drop(key)
     blocks = F.ceil(F.col("m") / block).cast("int")

@@ -1,4 +1,8 @@
+import itertools
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators import timestamps as T
 
@@ -66,11 +70,42 @@ def test_unknown_order_is_decided_by_the_neighbours():
     out = []
     for i, v in enumerate(values):
         out += list(decoder.push(i, T.interpretations(v, None, "UTC")))
-    out += list(decoder.flush())
+    out += list(decoder.finish())
     assert [r[1].strftime("%d.%m") for _, r, _ in out] == ["13.02", "03.04", "25.04"]
     assert [n for _, _, n in out] == [1, 2, 1]
 
 
+def test_best_path_is_that_of_all_paths():
+    rng = random.Random(6)
+    for _ in range(60):
+        values = [f"{rng.randrange(1, 29):02d}/{rng.randrange(1, 29):02d}/2024" for _ in range(rng.randrange(1, 9))]
+        records = [((str(i), "", v), r) for i, v in enumerate(values) if (r := T.interpretations(v, None, "UTC"))]
+        decoder = T.SourceDecoder()
+        got = [d for k, r in records for d in decoder.push(k, r)] + list(decoder.finish())
+
+        def cost(path):
+            own = sum(T._own(k, r)[i] for (k, r), i in zip(records, path))
+            chosen = [r[i] for (_, r), i in zip(records, path)]
+            return own + sum(map(T._step, chosen, chosen[1:]))
+
+        best = min(itertools.product(*[range(len(r)) for _, r in records]), key=cost)
+        assert [r for _, r, _ in got] == [r[i] for (_, r), i in zip(records, best)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_decoding_whatever_the_partitioning(spark, seed):
+    rng = random.Random(seed)
+    day = lambda: f"{rng.randrange(1, 13):02d}/{rng.randrange(1, 13):02d}/2024"
+    rows = [("long", i, "03/25/2024" if i == 0 else "03/02/2024") for i in range(3000)]
+    rows += [("mixed", i, day() if rng.random() < 0.97 else rng.choice(["13/01/2024", "01/13/2024", "none", "2024-02-02"])) for i in range(1500)]
+    rows += [(f"s{k}", i, day()) for k in range(40) for i in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame([(f"{s}{i}", v, s, f"{i:06d}") for s, i, v in rows], "id string, v string, s string, at string")
+    df = df.withColumn("tz", F.lit("UTC")).withColumn("o", F.lit(None).cast("string"))
+    names = dict(rec_id="id", value="v", source="s", order="at", tz_name="tz", date_order="o")
+    one, some, many = ({(r.rec_id, r.utc) for r in T.resolve_timestamps(df, **names, partitions=n).collect()} for n in (1, 8, 64))
+    assert one == some == many and ("long2999", "2024-03-02T00:00:00Z") in one and len([x for x in one if x[0].startswith("long")]) == 3000
+
+
 def test_operator_handles_nulls_repeats_and_empty_tables(spark):
     schema = "id string, when string, source string, at string, tz_name string, date_order string, value string, rec_id int"
     rows = [

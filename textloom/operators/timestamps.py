@@ -6,23 +6,31 @@ is then chosen by Viterbi decoding over the record order of its source: emission
 costs say how well an interpretation agrees with what is known of the source
 (numeric date order, zone), transitions penalise a switch of format and a jump
 back in time.  The rows of a source are range partitioned on (source, order), so
-a source that holds a third of all rows is split over many tasks; decoding is
-fixed-lag and therefore runs in constant memory whatever the length of a source.
+a source that holds a third of all rows is split over many tasks.  The best path is
+that of the whole source wherever it is cut: a first pass gives, for the segments at the
+edges of each range, the cost from each reading of the first record to each of the last; these
+small tables are chained on the driver (two of them for each range), and a second pass
+decodes each range between the readings that the chain has chosen.  Costs are whole numbers
+with a part that tells ties apart, so the path is one and the same for any partitioning.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
+from zlib import crc32
 from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.runtime import cut_lineage
+
 # Month names of the supported languages, January first.
 MONTH_NAMES = {
     "en": "january february march april may june july august september october november december",
@@ -84,7 +92,9 @@ WRONG_ORDER = 100.0  # against the numeric order that is known of the source
 WRONG_PLACE = 100.0  # an abbreviation in a sense that is not usual at the place
 FORMAT_SWITCH = 1.0
 BACKWARD_JUMP = 1.0
-LAG = 4096  # records that may wait for a decision
+JUMP_SECONDS = 30 * 86_400  # a jump back by so much or more costs BACKWARD_JUMP, a shorter one its share
+UNIT = 1 << 80  # costs are whole numbers of 1 / UNIT
+TIE = 1 << 32  # what a later reading costs more than an earlier one, plus less than that by the record's hash
 UNKNOWN_ZONE = "UTC"
 MIN_YEAR, MAX_YEAR = 1900, 2100
 
@@ -215,73 +225,193 @@ def interpretations(value: str | None, date_order: str | None, place: str | None
     return ()
 
 
+def _own(key: object, readings: tuple) -> list[int]:
+    """Costs of the readings themselves; no two paths over a source have the same sum of tie parts, but by chance."""
+    return [int(r[3]) * UNIT + i * TIE + crc32(f"{i} {key}".encode()) for i, r in enumerate(readings)]
+
+
+def _step(a: tuple, b: tuple) -> int:
+    back = a[2] - b[2]
+    jump = int(BACKWARD_JUMP * UNIT) * min(back, JUMP_SECONDS) // JUMP_SECONDS if back > 0 else 0
+    return int(FORMAT_SWITCH * UNIT) * (a[0] != b[0]) + jump
+
+
+def _best(costs: list[int]) -> int:
+    return min(range(len(costs)), key=costs.__getitem__)
+
+
 class SourceDecoder:
-    """Fixed-lag Viterbi over one source; values with one reading decide all that wait before them."""
+    """Viterbi over one source, or over a segment of one between given readings of its first and last record.
+
+    Records wait until all paths agree on them (one that has a single reading settles all before it); at most one range of records waits.
+    """
 
-    def __init__(self) -> None:
-        self.costs: list[float] = []
-        self.last: tuple = ()
+    def __init__(self, first: int | None = None) -> None:
+        self.first = first
+        self.costs: list[int] = []
         self.waiting: list[tuple[object, tuple, list[int]]] = []
 
     def push(self, key: object, readings: tuple) -> Iterator[tuple[object, tuple, int]]:
         if not readings:
             return
+        own = _own(key, readings)
         if not self.waiting:
-            costs, back = [r[3] + (min((self._step(p, r) for p in self.last), default=0.0)) for r in readings], [0] * len(readings)
-        else:
-            costs, back = [], []
-            for r in readings:
-                steps = [c + self._step(p, r) for c, p in zip(self.costs, self.last)]
-                best = min(range(len(steps)), key=steps.__getitem__)
-                costs.append(steps[best] + r[3])
-                back.append(best)
+            self.costs = own if self.first is None else [c if i == self.first else c + (UNIT << 40) for i, c in enumerate(own)]
+            self.waiting.append((key, readings, []))
+            return
+        last, costs, back = self.waiting[-1][1], [], []
+        for r, c in zip(readings, own):
+            steps = [d + _step(p, r) for d, p in zip(self.costs, last)]
+            k = _best(steps)
+            costs.append(steps[k] + c)
+            back.append(k)
+        if len(set(back)) == 1:
+            yield from self._settled(back[0])
+            back = []
         low = min(costs)
-        self.costs, self.last = [c - low for c in costs], readings
+        self.costs = [c - low for c in costs]
         self.waiting.append((key, readings, back))
-        if len(readings) == 1 or len(self.waiting) >= LAG:
-            yield from self.flush()
 
-    def flush(self) -> Iterator[tuple[object, tuple, int]]:
-        if not self.waiting:
-            return
-        k = min(range(len(self.costs)), key=self.costs.__getitem__)
-        chosen, out = self.last[k], []
+    def _settled(self, k: int) -> Iterator[tuple[object, tuple, int]]:
+        out = []
         for key, readings, back in reversed(self.waiting):
             out.append((key, readings[k], len(readings)))
             k = back[k] if back else 0
-        self.waiting, self.last, self.costs = [], (chosen,), [0.0]
+        self.waiting = []
         yield from reversed(out)
 
-    @staticmethod
-    def _step(a: tuple, b: tuple) -> float:
-        back = (a[2] - b[2]) / 86400.0
-        return FORMAT_SWITCH * (a[0] != b[0]) + (BACKWARD_JUMP * min(1.0, back / 30.0) if back > 0 else 0.0)
+    def finish(self, last: int | None = None) -> Iterator[tuple[object, tuple, int]]:
+        if self.waiting:
+            yield from self._settled(_best(self.costs) if last is None else last)
+
 
+class Segment:
+    """Costs from each reading of a segment's first record to each reading of its last."""
 
-def _decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    source, decoder, rows = object(), SourceDecoder(), []
+    def __init__(self, source: str) -> None:
+        self.source, self.first, self.last, self.costs, self.own = source, (), (), [], []
+
+    def push(self, key: object, readings: tuple) -> None:
+        if not readings:
+            return
+        own = _own(key, readings)
+        if not self.first:
+            self.first, self.own = readings, own
+            self.costs = [[0 if i == j else None for j in range(len(readings))] for i in range(len(readings))]
+        else:
+            steps = [[_step(p, r) for p in self.last] for r in readings]
+            self.costs = [[min(d + t for d, t in zip(row, s) if d is not None) + c for s, c in zip(steps, own)] for row in self.costs]
+        self.last = readings
+
+    def row(self) -> tuple:
+        return self.source, self.first, self.last, self.own, self.costs
+
+
+def chained(parts: list[tuple[int, list[tuple]]]) -> dict[int, list[tuple[int, int] | None]]:
+    """The readings (first, last) of the edge segments of each range: those of the best path over each source.
+
+    ``parts`` has the segments (source, first, last, own, costs) of each range in order: one if it lies within
+    a source, else its first and its last source.
+    """
+    chosen: dict[int, list[tuple[int, int] | None]] = {part: [None] * len(segments) for part, segments in parts}
+    run: list[tuple] = []  # (part, place, entry of each last reading, previous reading of each first one)
+    state: tuple | None = None  # source, last readings and their costs
+
+    def close() -> None:
+        if run:
+            k = _best(state[2])
+            for part, place, entries, before in reversed(run):
+                i = entries[k]
+                chosen[part][place] = (i, k)
+                k = before[i] if before else 0
+            run.clear()
+
+    for part, segments in parts:
+        for place, (source, first, last, own, costs) in enumerate(segments):
+            if state and (place or state[0] != source):
+                close()
+                state = None
+            if not first:
+                continue
+            before: list[int] = []
+            entry = list(own)
+            if state:
+                for i, r in enumerate(first):
+                    steps = [c + _step(tuple(p), tuple(r)) for c, p in zip(state[2], state[1])]
+                    before.append(_best(steps))
+                    entry[i] += steps[before[i]]
+            totals, entries = [], []
+            for j in range(len(last)):
+                ways = [(entry[i] + costs[i][j], i) for i in range(len(first)) if costs[i][j] is not None]
+                totals.append(min(ways)[0])
+                entries.append(min(ways)[1])
+            run.append((part, place, entries, before))
+            state = (source, last, totals)
+    close()
+    return chosen
+
+
+def _rows_in_order(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(b["part"], b["source"], b["rec_id"], b["ord"], b["value"], b["date_order"], b["tz_name"], b["last_source"])
+
+
+def _edges(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per range: its edge segments, pickled."""
+    segments: list[Segment] = []
+    current = None
 
     def frame() -> pd.DataFrame:
-        out = pd.DataFrame([(k, datetime_text(r[2]), r[0], n) for k, r, n in rows], columns=["rec_id", "utc", "format", "n_readings"])
-        rows.clear()
-        return out
-
-    for batch in batches:
-        for s, key, value, order, place in zip(batch["source"], batch["rec_id"], batch["value"], batch["date_order"], batch["tz_name"]):
-            if s != source:
-                rows.extend(decoder.flush())
-                source, decoder = s, SourceDecoder()
-            rows.extend(decoder.push(key, interpretations(value, order, place)))
+        return pd.DataFrame({"part": [current], "segments": [pickle.dumps([x.row() for x in segments])]})
+
+    for part, source, rec_id, order, value, date_order, place, last_source in _rows_in_order(batches):
+        if part != current:
+            if segments:
+                yield frame()
+            current, segments = part, [Segment(source)]
+        if source != segments[-1].source:
+            if source != last_source:
+                continue  # a source within the range has no edge
+            segments.append(Segment(source))
+        segments[-1].push((rec_id, order, value), interpretations(value, date_order, place))
+    if segments:
         yield frame()
-    rows.extend(decoder.flush())
-    yield frame()
+
+
+def _decode(chosen: dict[int, list[tuple[int, int] | None]]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        at, decoder, pin = (), SourceDecoder(), None
+
+        def take(decided: Iterable[tuple]) -> None:
+            rows.extend((k[0], k[1], datetime_text(r[2]), r[0], n) for k, r, n in decided)
+
+        for part, source, rec_id, order, value, date_order, place, last_source in _rows_in_order(batches):
+            if (part, source) != at:
+                take(decoder.finish(pin[1] if pin else None))
+                edge = chosen[part]
+                new_range = not at or at[0] != part
+                pin = edge[0] if new_range else edge[1] if source == last_source else None
+                at, decoder = (part, source), SourceDecoder(pin[0] if pin else None)
+            readings = interpretations(value, date_order, place)
+            take(decoder.push((rec_id, order, value), readings))
+            if len(rows) >= 20_000:
+                yield pd.DataFrame(rows, columns=_DECIDED)
+                rows.clear()
+        take(decoder.finish(pin[1] if pin else None))
+        yield pd.DataFrame(rows, columns=_DECIDED)
+
+    return run
+
+
+_DECIDED = ["rec_id", "ord", "utc", "format", "n_readings"]
 
 
 def datetime_text(seconds: int) -> str:
     return (datetime(1970, 1, 1) + timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def resolve_timestamps(df: DataFrame, *, rec_id: str, value: str, source: str, order: str, tz_name: str, date_order: str) -> DataFrame:
+def resolve_timestamps(df: DataFrame, *, rec_id: str, value: str, source: str, order: str, tz_name: str, date_order: str, partitions: int | None = None) -> DataFrame:
     """``rec_id, utc, format, n_readings``: one row for each record whose value names a possible moment.
 
     ``utc`` looks like ``2024-01-31T08:05:00Z`` (fractions cut off).  A zone or offset in the value
@@ -289,27 +419,28 @@ def resolve_timestamps(df: DataFrame, *, rec_id: str, value: str, source: str, o
     or impossible value gives no row.  Repeated rows of a record count once: its earliest row in
     ``order`` that names a moment.  Extra columns are ignored; names may clash, as columns are
     chosen by the given names before anything else happens.  An empty table gives an empty result.
+    ``partitions`` is the number of ranges (None: as Spark chooses); it doesn't change the result.
     """
     slim = df.select(
         F.col(rec_id).cast("string").alias("rec_id"),
         F.col(value).alias("value"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-        F.col(order).cast("string").alias("ord"),
+        F.coalesce(F.col(order).cast("string"), F.lit("")).alias("ord"),
         F.col(tz_name).alias("tz_name"),
         F.col(date_order).alias("date_order"),
     ).filter(F.col("value").isNotNull() & F.col("rec_id").isNotNull())
     # One row per record and distinct value: repeats keep their first place in the order.
     slim = slim.groupBy("rec_id", "value", "source", "tz_name", "date_order").agg(F.min("ord").alias("ord"))
-    ordered = slim.repartitionByRange("source", "ord", "rec_id").sortWithinPartitions("source", "ord", "rec_id")
-    keyed = ordered.select(F.to_json(F.struct("rec_id", "ord")).alias("rec_id"), "value", "source", "date_order", "tz_name")
-    chosen = keyed.mapInPandas(_decode, "rec_id string, utc string, format string, n_readings int")
-    key = F.from_json("rec_id", "rec_id string, ord string")
-    return (
-        chosen.select(key.alias("k"), "utc", "format", "n_readings")
-        .groupBy(F.col("k.rec_id").alias("rec_id"))
-        .agg(F.min(F.struct(F.col("k.ord").alias("ord"), "utc", "format", "n_readings")).alias("m"))
-        .select("rec_id", "m.utc", "m.format", "m.n_readings")
-    )
+    keys = ("source", "ord", "rec_id", "value", "tz_name", "date_order")
+    ranges = slim.repartitionByRange(partitions, *keys) if partitions else slim.repartitionByRange(*keys)
+    placed = cut_lineage(ranges.withColumn("part", F.spark_partition_id()))  # which record is in which range never changes now
+    last = placed.groupBy("part").agg(F.max("source").alias("last_source"))
+    ordered = placed.join(F.broadcast(last), "part")  # one row per range
+    ordered = ordered.repartition("part").sortWithinPartitions("part", *keys)
+    edges = ordered.mapInPandas(_edges, "part int, segments binary").orderBy("part").collect()  # two segments per range at most
+    chosen = chained([(r["part"], pickle.loads(r["segments"])) for r in edges])
+    decided = ordered.mapInPandas(_decode(chosen), "rec_id string, ord string, utc string, format string, n_readings int")
+    return decided.groupBy("rec_id").agg(F.min(F.struct("ord", "utc", "format", "n_readings")).alias("m")).select("rec_id", "m.utc", "m.format", "m.n_readings")
 
 
 def publication_moments(articles: DataFrame, documents: DataFrame, outlets: DataFrame) -> DataFrame:

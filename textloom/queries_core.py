@@ -39,6 +39,13 @@ def p6_formats(spark: SparkSession, d: str) -> DataFrame:
     return _moments(spark, d).groupBy("tbl", "format").agg(F.count("*").alias("n_values"), F.sum(F.when(F.col("n_readings") > 1, 1).otherwise(0)).alias("n_ambiguous"), F.min("utc").alias("first_utc"), F.max("utc").alias("last_utc"))
 
 
+@query("p6_order_inferred")
+def p6_order_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """The moments where no outlet has told its order of day and month: the decoding over its records decides."""
+    outlets = load(spark, d, "outlets").withColumn("date_order", F.lit(None).cast("string"))
+    return timestamps.publication_moments(load(spark, d, "articles"), load(spark, d, "documents"), outlets).select("tbl", "rec_id", "utc")
+
+
 _P7_BASE = r"""
 with t as (
   select document_id, token_index, min(case when trim(regexp_replace(coalesce(lemma,''), '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g')) <> ''

@@ -38,12 +38,15 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that intermediate tables are written to.
 
-    On a cluster it is the one named in ``spark.checkpoint.dir``.  Only where that setting
-    is absent (tests, notebooks) is a local folder chosen.
+    On a cluster it is the one named in ``spark.checkpoint.dir``.  Where that setting is absent a
+    temporary folder of this machine serves a local master only: executors of a cluster would
+    each write to their own disks.
     """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="textloom-checkpoint-")
         sc.setCheckpointDir(configured)
     return configured

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.runtime import cut_lineage
+
 
 def _num(x: Column) -> Column:
     return x.cast("double")
@@ -45,16 +47,30 @@ def chi2_tail(x: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "q_value_bh") -> DataFrame:
-    """Adds the false-discovery rate of each p-value.
+    """Adds the false-discovery rate of each p-value; rows with a null one get null.
 
-    The reverse running minimum needs all p-values in order: a single partition.  Use it on a
-    vocabulary that has been thresholded, as every caller here does.
+    Rows are range partitioned on the p-value.  The driver sees two numbers per range (its rows and its
+    least p m / rank), which give the ranks before and the minima behind each range.
     """
-    m = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.col(p)))
-    ranked = df.withColumn("_m", m).withColumn("_rank", rank)
-    later = Window.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(later))).drop("_m", "_rank")
+    ranged = cut_lineage(df.repartitionByRange(F.col(p).asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["n"] for r in ranged.filter(F.col(p).isNotNull()).groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row per range
+    m, before, offsets = sum(sizes.values()), 0, {}
+    for part in sorted(sizes):
+        offsets[part], before = before, before + sizes[part]
+
+    def by_part(values: dict[int, float]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("_part")] if values else F.lit(None)
+
+    within = Window.partitionBy("_part").orderBy(F.col(p).asc_nulls_last())
+    rank = by_part(offsets) + F.row_number().over(within)
+    scaled = ranged.withColumn("_v", F.when(F.col(p).isNotNull(), F.col(p) * F.lit(float(m)) / rank))
+    least = {r["_part"]: r["v"] for r in scaled.groupBy("_part").agg(F.min("_v").alias("v")).collect() if r["v"] is not None}
+    behind, low = {}, float("inf")
+    for part in sorted(least, reverse=True):
+        behind[part], low = low, min(low, least[part])
+    later = within.rowsBetween(0, Window.unboundedFollowing)
+    value = F.least(F.lit(1.0), F.min("_v").over(later), by_part(behind).cast("double"))
+    return scaled.withColumn(out, F.when(F.col(p).isNotNull(), value)).drop("_v", "_part")
 
 
 def pmi(joint: Column, n: Column, node: Column, collocate: Column) -> Column:

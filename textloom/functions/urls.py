@@ -66,17 +66,28 @@ def page_number(url: Column) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
+# Extensions by type, those kept as they stand in a path, and those of further types.
+TYPE_EXTENSIONS = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/avif": ".avif", "image/svg+xml": ".svg"}
+PATH_EXTENSION = r"\.(?:jpg|jpeg|png|gif|webp|avif|svg)$"
+GUESSED_EXTENSIONS = {"image/bmp": ".bmp", "image/tiff": ".tiff", "image/vnd.microsoft.icon": ".ico", "image/x-icon": ".ico", "image/heic": ".heic"}
+# What names an image that decorates the page.
+DECORATIVE = r"logo|avatar|profile|icon|emoji|spinner|tracking|pixel|gravatar"
+
+
+def _lookup(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
 def image_extension(mime: Column, url: Column) -> Column:
-    """File extension by MIME type, else by the path's own, else ``.bin``."""
-    by_type = F.create_map(*[F.lit(x) for x in ("image/jpeg", ".jpg", "image/png", ".png", "image/gif", ".gif", "image/webp", ".webp", "image/svg+xml", ".svg", "image/avif", ".avif")])
-    own = F.lower(F.regexp_extract(path(url), r"\.(?:jpe?g|png|gif|webp|svg|avif)$", 0))
-    return F.coalesce(by_type[F.lower(F.trim(F.regexp_replace(mime, ";.*$", "")))], F.when(own != "", F.replace(own, F.lit(".jpeg"), F.lit(".jpg"))), F.lit(".bin"))
+    """File extension by MIME type, else the path's own, else a guess by the type, else ``.img``."""
+    own = F.lower(F.regexp_extract(F.lower(path(url)), PATH_EXTENSION, 0))
+    return F.coalesce(_lookup(TYPE_EXTENSIONS)[mime], F.when(own != "", own), _lookup(GUESSED_EXTENSIONS)[mime], F.lit(".img"))
 
 
-def decorative_image(url: Column, width: Column, height: Column) -> Column:
-    """Icons, logos and the like by their URL, or both sides of 1 to 80 pixels."""
+def decorative_image(signature: Column, width: Column, height: Column) -> Column:
+    """Icons, logos and the like by their class, id and URL (``signature``), or both sides of 1 to 80 pixels."""
     small = width.between(1, 80) & height.between(1, 80)
-    return F.coalesce(F.lower(url).rlike(r"(?:icon|logo|avatar|sprite|spacer|pixel|badge|emoji)") | small, F.lit(False))
+    return F.coalesce(F.lower(signature).rlike(DECORATIVE), F.lit(False)) | F.coalesce(small, F.lit(False))
 
 
 def url_hash(url: Column, length: int = 20) -> Column:

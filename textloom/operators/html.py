@@ -21,14 +21,21 @@ from pyspark.sql import types as T
 from textloom.operators.timestamps import interpretations
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template".split())
-BLOCKS = frozenset("p li blockquote h2 h3 h4 pre".split())
 CLOSES_P = frozenset("p div ul ol li blockquote pre table section article aside nav footer header main figure form h1 h2 h3 h4 h5 h6 hr".split())
 FRAME_TAGS = frozenset("nav footer header aside form".split())
-FRAME_NAMES = re.compile(r"(?i)\b(?:share|social|reactions?|comments?|signup|newsletter|pagination|breadcrumbs?|sidebar|related|cookie|menu|nav|footer|promo)\b")
-ROOT_NAMES = re.compile(r"(?i)article|post|entry|blog|page-content|content-pages")
-STOP_LINE = re.compile(r"(?i)^(?:do you like this (?:page|post)\??|showing \d+ reactions?|sign in with\b|related (?:posts|articles)|share this (?:page|post))")
-META_LINE = re.compile(r"(?i)^(?:posted by\b|published (?:on|at)\b|tags?:|filed under\b|[a-z]+ \d{1,2}, \d{4}$|\d{1,2} [a-z]+ \d{4}$)")
+
+# Elements without text of the page, elements that hold a block of text, words in class and id that name the
+# page's frame or an article's root, and lines that end the body or are no part of it.
+HIDDEN = frozenset("script style noscript template".split())
+BLOCKS = frozenset("p li blockquote h2 h3 h4 pre".split())
+FRAME_NAMES = re.compile(r"(?:nav|menu|footer|header|sidebar|share|social|reaction|comment|signup|newsletter|petition|donat|login|account|breadcrumb|pagination|site-map)", re.I)
+FRAME_CLASSES = frozenset("breadcrumb breadcrumbs share social reaction reactions comment comments signup newsletter pagination caption image-caption wp-caption-text".split())
+ROOT_NAMES = re.compile(r"article|post|entry|blog|page-content|content-pages", re.I)
+STOP_LINE = re.compile(r"^(?:do you like this page\??|showing\s+\d+\s+reaction|sign in with|or sign in with email|create an account|site map|newsletter|follow us|contact address)", re.I)
+META_LINE = re.compile(r"^(?:posted by\b|[A-Z][a-z]+\s+\d{1,2},\s+\d{4}\b)", re.I)
+# What a candidate root gains or loses besides its words.
+BONUS = {"article": 160, "main": -40, "body": -180, "html": -180}
+BODY_PROPERTY, ROOT_NAME, FRAME_NAME, PER_BLOCK, MAX_BLOCKS, PER_NODES, MAX_NODES = 220, 100, -500, 12, 50, 80, 80
 
 IMAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "alt_text", "title_text", "figcaption", "caption_source", "image_role", "source_location")])
 ARTICLE = T.StructType(
@@ -64,20 +71,20 @@ class Node:
             yield node
             node = node.parent
 
-    def pieces(self, skip: frozenset[str]) -> Iterator[str]:
+    def pieces(self, skip: frozenset[str], classes: frozenset[str] = frozenset()) -> Iterator[str]:
         for c in self.children:
             if isinstance(c, str):
                 yield c
-            elif c.tag not in skip:
+            elif c.tag not in skip and not (classes and classes.intersection(c.attrs.get("class", "").split())):
                 if c.tag == "br":
                     yield "\n"
-                yield from c.pieces(skip)
+                yield from c.pieces(skip, classes)
 
     def text(self, skip: frozenset[str] = HIDDEN) -> str:
         return " ".join(" ".join(self.pieces(skip)).replace("\xa0", " ").split())
 
-    def lines(self, skip: frozenset[str]) -> list[str]:
-        found = (" ".join(x.replace("\xa0", " ").split()) for p in self.pieces(skip) for x in p.split("\n"))
+    def lines(self, skip: frozenset[str], classes: frozenset[str] = frozenset()) -> list[str]:
+        found = (" ".join(x.replace("\xa0", " ").split()) for p in self.pieces(skip, classes) for x in p.split("\n"))
         return [x for x in found if x]
 
 
@@ -218,7 +225,7 @@ def _blocks(root: Node, title: str, tags: set[str]) -> list[str]:
 
 
 def _lines(root: Node, title: str, tags: set[str]) -> list[str]:
-    lines = root.lines(HIDDEN | FRAME_TAGS | {"figcaption", "h1", "title"})
+    lines = root.lines(HIDDEN | FRAME_TAGS | {"figcaption", "h1", "title"}, FRAME_CLASSES)
     echo = plain(title)
     starts = [i for i, x in enumerate(lines) if plain(x) == echo]
     return _clean(lines[starts[-1] + 1 if starts else 0 :], title, tags)
@@ -235,16 +242,16 @@ def _roots(root: Node, title: str) -> list[Node]:
         if echo and plain(h.text()) == echo:
             found += list(h.ancestors())[:8]
     found = found or [n for n in root.find("div", "section")] or [root]
-    return list({id(n): n for n in found if n.tag not in HIDDEN | {"html", "head", "meta"}}.values())
+    return list({id(n): n for n in found if n.tag not in HIDDEN | {"document", "html", "head", "meta"}}.values()) or [root]
 
 
 def _score(node: Node, words: int) -> float:
-    bonus = {"article": 160, "main": -40, "body": -180}.get(node.tag, 0)
-    bonus += 220 if node.attrs.get("itemprop") == "articleBody" else 0
-    bonus += 100 if ROOT_NAMES.search(node.names()) else 0
-    bonus -= 500 if FRAME_NAMES.search(node.names()) else 0
-    every = sum(1 for _ in node.walk())
-    return words + bonus + 12 * min(sum(1 for _ in node.find("p", "blockquote", "li")), 50) - min(every / 40, 80)
+    bonus = BONUS.get(node.tag, 0)
+    bonus += BODY_PROPERTY if node.attrs.get("itemprop") == "articleBody" else 0
+    bonus += ROOT_NAME if ROOT_NAMES.search(node.names()) else 0
+    bonus += FRAME_NAME if FRAME_NAMES.search(node.names()) else 0
+    below = len(node.children) + sum(len(n.children) for n in node.walk())  # elements and texts
+    return words + bonus + PER_BLOCK * min(sum(1 for _ in node.find("p", "blockquote", "li")), MAX_BLOCKS) - min(below // PER_NODES, MAX_NODES)
 
 
 def _source(img: Node) -> str | None:

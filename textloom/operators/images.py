@@ -38,10 +38,20 @@ def caption_overlap(linked: DataFrame) -> DataFrame:
     return j.select("image_id", "document_id", "jaccard", relation.alias("relation"))
 
 
-def provisional_relation(title: Column, lead: Column, cap: Column, ocr_overlap: Column, *, high: float = 0.30, low: float = 0.10, redundant: float = 0.12) -> Column:
-    """Ordered decision on similarities of an image to title, lead and caption."""
-    best = F.greatest(title, lead, cap)
-    return F.when(best.isNull(), "insufficient_evidence").when(ocr_overlap >= redundant, "textual_redundancy_candidate").when(best >= high, "reinforcing_candidate").when(best <= low, "divergent_candidate").otherwise("complementary_candidate")
+def provisional_relation(title: Column, lead: Column, cap: Column, ocr_overlap: Column, has_caption: Column, *, high: float = 0.30, low: float = 0.10, redundant: float = 0.12) -> Column:
+    """Ordered decision on similarities of an image to title, lead and caption, and of its lettering to the body.
+
+    ``ocr_overlap`` is null where the image has no lettering; a null similarity counts as 0.
+    """
+    title, lead, cap = (F.coalesce(c, F.lit(0.0)) for c in (title, lead, cap))
+    best = F.greatest(title, lead)
+    return (
+        F.when(ocr_overlap >= redundant, "text_bearing_redundant_or_evidential")
+        .when((cap >= high) & F.coalesce(has_caption, F.lit(False)), "caption_aligned")
+        .when(best >= high, "article_aligned_illustrative_or_complementary")
+        .when(best < low, "weak_alignment_review")
+        .otherwise("review_required")
+    )
 
 
 def merged_candidates(images: DataFrame, *, key: str = "final_url") -> DataFrame:

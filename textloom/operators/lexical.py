@@ -18,16 +18,26 @@ def _with_total(df: DataFrame, total: DataFrame) -> DataFrame:
     return df.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
 
 
+def _marked(lists: DataFrame, items: str, *keep: str) -> DataFrame:
+    """``keep, item, first``: a row per item, the first of its kind in its record marked.
+
+    A record is one row, so its own sorted array tells in how many records an item occurs; no
+    shuffle on (record, item) is needed.
+    """
+    ordered = lists.select(*keep, F.sort_array(items).alias("_o"))
+    marks = F.transform("_o", lambda x, i: F.struct(x.alias("item"), ((i == 0) | (F.get("_o", i - 1) != x)).cast("int").alias("first")))
+    return ordered.select(*keep, F.explode(marks).alias("_m")).select(*keep, "_m.item", "_m.first")
+
+
 def frequencies(lists: DataFrame, *, items: str, name: str, min_frequency: int = 1) -> DataFrame:
     """``<name>, frequency, document_frequency, per_million, document_proportion`` of the items of all records.
 
-    Counts are combined per record before the shuffle on the item; the denominator is the number
-    of all items.
+    One shuffle, on the item, with counts combined before it; the number of all items, which is
+    the denominator, is the sum of the same counts.
     """
-    per_record = lists.select("record", F.explode(items).alias(name)).groupBy("record", name).agg(F.count("*").alias("n"))
-    counts = per_record.groupBy(name).agg(F.sum("n").alias("frequency"), F.count("*").alias("document_frequency"))
-    total = lists.agg(F.coalesce(F.sum(F.size(items).cast("bigint")), F.lit(0)).alias("_total"), F.count("*").alias("_documents"))
-    out = _with_total(counts.filter(F.col("frequency") >= min_frequency), total)
+    counts = _marked(lists, items).groupBy(F.col("item").alias(name)).agg(F.count("*").alias("frequency"), F.sum("first").alias("document_frequency"))
+    total = counts.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("_total"))
+    out = _with_total(_with_total(counts.filter(F.col("frequency") >= min_frequency), total), lists.agg(F.count("*").alias("_documents")))
     return out.select(
         name,
         "frequency",
@@ -52,16 +62,13 @@ def ngram_frequencies(df: DataFrame, *, record: str, body: str, n: int, min_freq
 def keyness(target: DataFrame, comparator: DataFrame, *, record: str, body: str, min_target: int = 5) -> DataFrame:
     """Terms of ``target`` against ``comparator``: counts, G2, log ratio, p and q; ``min_target`` occurrences or more."""
 
-    def counts(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-        lists = tokenised(df, record=record, body=body).select("record", text.content_tokens(F.col("toks")).alias("items"))
-        per = lists.select("record", F.explode("items").alias("term")).groupBy("record", "term").agg(F.count("*").alias("n"))
-        c = per.groupBy("term").agg(F.sum("n").alias(f"{side}_frequency"), F.count("*").alias(f"{side}_document_frequency"))
-        return c, lists.agg(F.coalesce(F.sum(F.size("items").cast("bigint")), F.lit(0)).alias(f"{side}_total"))
-
-    t, nt = counts(target, "target")
-    c, nc = counts(comparator, "comparator")
-    j = t.filter(F.col("target_frequency") >= min_target).join(c, "term", "left").na.fill(0, ["comparator_frequency", "comparator_document_frequency"])
-    j = _with_total(_with_total(j, nt), nc)
+    sides = [tokenised(df, record=record, body=body).select(F.lit(side).alias("side"), text.content_tokens(F.col("toks")).alias("items")) for df, side in ((target, "target"), (comparator, "comparator"))]
+    marked = _marked(sides[0].unionByName(sides[1]), "items", "side")
+    is_target = F.col("side") == "target"
+    counted = {"target_frequency": F.when(is_target, 1), "comparator_frequency": F.when(~is_target, 1), "target_document_frequency": F.when(is_target, F.col("first")), "comparator_document_frequency": F.when(~is_target, F.col("first"))}
+    counts = marked.groupBy(F.col("item").alias("term")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in counted.items()])
+    totals = counts.agg(*[F.coalesce(F.sum(f"{x}_frequency"), F.lit(0)).alias(f"{x}_total") for x in ("target", "comparator")])
+    j = _with_total(counts.filter(F.col("target_frequency") >= min_target), totals)
     args = (F.col("target_frequency"), F.col("target_total"), F.col("comparator_frequency"), F.col("comparator_total"))
     out = j.withColumn("log_likelihood", stats.log_likelihood(*args)).withColumn("log_ratio", stats.log_ratio(*args))
     return out.withColumn("p_value", stats.chi2_tail(F.col("log_likelihood"))).drop("target_total", "comparator_total")
@@ -82,7 +89,7 @@ def collocations(df: DataFrame, *, record: str, body: str, nodes: list[str], win
     per = near.groupBy("node", "collocate", "record").agg(F.count("*").alias("n"))
     pairs = per.groupBy("node", "collocate").agg(F.sum("n").alias("cooccurrence_frequency"), F.count("*").alias("document_frequency")).filter(F.col("cooccurrence_frequency") >= min_frequency)
     counts = toks.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-    total = toks.agg(F.coalesce(F.sum(F.size("toks").cast("bigint")), F.lit(0)).alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("_n"))
     j = pairs.join(counts.select(F.col("t").alias("node"), F.col("f").alias("node_frequency")), "node")
     j = _with_total(j.join(counts.select(F.col("t").alias("collocate"), F.col("f").alias("collocate_frequency")), "collocate"), total)
     f, fn, fc = F.col("cooccurrence_frequency"), F.col("node_frequency"), F.col("collocate_frequency")

@@ -18,9 +18,9 @@ def text_digests(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1"), F.md5("text").alias("md5"))
 
 
-@query("record_digests", "select vec_id, sha256(vec_id || '|' || coalesce(cast(label as varchar), '')) as digest from embeddings")
+@query("record_digests", "select vec_id, sha256(vec_id || '|' || coalesce(cast(label as varchar), '') || '|' || coalesce(array_to_string(list_transform(embedding, lambda x: cast(cast(round(cast(x as double) * 1000000) as bigint) as varchar)), ','), '')) as digest from embeddings")
 def record_digests(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "embeddings").select("vec_id", F.sha2(F.concat(F.col("vec_id").cast("string"), F.lit("|"), F.coalesce(F.col("label").cast("string"), F.lit(""))), 256).alias("digest"))
+    return load(spark, d, "embeddings").select("vec_id", F.sha2(F.concat(F.col("vec_id").cast("string"), F.lit("|"), F.coalesce(F.col("label").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint").cast("string")), ","), F.lit(""))), 256).alias("digest"))
 
 
 @query("order_date_quality", "select case when o_orderdate is null then 'missing' when o_orderdate > timestamp '1997-01-01' then 'future' else 'ok' end as flag, count(*) as n from orders group by 1")
@@ -37,10 +37,12 @@ def image_filter_reasons(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "images").groupBy(reason.alias("reason")).agg(F.count_distinct("image_id").alias("n_images"))
 
 
-@query("image_extensions", r"""with i as (select distinct image_id, lower(trim(regexp_replace(mime_type, ';.*$', ''))) as m, lower(regexp_extract(regexp_extract(final_url, '://[^/?#]*([^?#]*)', 1), '\.(?:jpe?g|png|gif|webp|svg|avif)$')) as e from images)
-select coalesce(case m when 'image/jpeg' then '.jpg' when 'image/png' then '.png' when 'image/gif' then '.gif' when 'image/webp' then '.webp' when 'image/svg+xml' then '.svg' when 'image/avif' then '.avif' end, nullif(replace(e, '.jpeg', '.jpg'), ''), '.bin') as extension, count(*) as n from i group by 1""")
+@query("image_extensions", r"""with i as (select distinct image_id, mime_type as m, regexp_extract(lower(regexp_extract(final_url, '://[^/?#]*([^?#]*)', 1)), '\.(?:jpg|jpeg|png|gif|webp|avif|svg)$') as e from images)
+select coalesce(case m when 'image/jpeg' then '.jpg' when 'image/png' then '.png' when 'image/gif' then '.gif' when 'image/webp' then '.webp' when 'image/svg+xml' then '.svg' when 'image/avif' then '.avif' end, nullif(e, ''),
+ case m when 'image/bmp' then '.bmp' when 'image/tiff' then '.tiff' when 'image/x-icon' then '.ico' when 'image/vnd.microsoft.icon' then '.ico' when 'image/heic' then '.heic' end, '.img') as extension, count(*) as n from (select distinct image_id, m, e from i) group by 1""")
 def image_extensions(spark: SparkSession, d: str) -> DataFrame:
-    i = load(spark, d, "images").select("image_id", urls.image_extension(F.col("mime_type"), F.col("final_url")).alias("extension")).distinct()
+    i = load(spark, d, "images").select("image_id", "mime_type", "final_url").distinct()
+    i = i.select("image_id", "mime_type", F.lower(F.regexp_extract(F.lower(urls.path(F.col("final_url"))), urls.PATH_EXTENSION, 0)).alias("e"), urls.image_extension(F.col("mime_type"), F.col("final_url")).alias("extension")).distinct()
     return i.groupBy("extension").agg(F.count("*").alias("n"))
 
 

@@ -160,9 +160,12 @@ def caption_relation_review(spark: SparkSession, d: str) -> DataFrame:
     return explore.stratified_head(images.caption_overlap(linked), group="relation", order=[F.desc("jaccard"), F.col("image_id")], n=20).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("merged_image_candidates", "select document_id, final_url, cast(min(position) as integer) as position, count(*) as n_sources from images group by document_id, final_url")
+_FIRST = "arg_min(case when trim({0}) <> '' then {0} end, case when trim({0}) <> '' then (case when image_role = 'inline' then 0 else 1 end, position, {0}) end) as {0}"
+
+
+@query("merged_image_candidates", "select document_id, final_url, cast(min(position) as integer) as position, count(*) as n_sources, " + ", ".join(_FIRST.format(c) for c in ("alt_text", "title_text", "figcaption")) + " from images group by document_id, final_url")
 def merged_image_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return images.merged_candidates(load(spark, d, "images")).select("document_id", "final_url", "position", "n_sources")
+    return images.merged_candidates(load(spark, d, "images"))
 
 
 @query("image_roles_by_month", """with i as (select image_id, min(retrieved_at_utc) as r, min(image_role) as image_role from images group by image_id) select substr(r, 1, 7) as period, image_role, count(*) as n from i group by 1, 2""")
@@ -171,7 +174,7 @@ def image_roles_by_month(spark: SparkSession, d: str) -> DataFrame:
     return i.groupBy(F.substring("r", 1, 7).alias("period"), "image_role").agg(F.count("*").alias("n"))
 
 
-@query("decorative_images", "select distinct image_id from images where coalesce(regexp_matches(lower(final_url), '(?:icon|logo|avatar|sprite|spacer|pixel|badge|emoji)') or (width between 1 and 80 and height between 1 and 80), false)")
+@query("decorative_images", "select distinct image_id from images where coalesce(regexp_matches(lower(final_url), 'logo|avatar|profile|icon|emoji|spinner|tracking|pixel|gravatar'), false) or coalesce(width between 1 and 80 and height between 1 and 80, false)")
 def decorative_images(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "images").filter(urls.decorative_image(F.col("final_url"), F.col("width"), F.col("height"))).select("image_id").distinct()
 
@@ -223,18 +226,20 @@ def frame_counts(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("frame", "document_id").agg(F.count("*").alias("k")).groupBy("frame").agg(F.sum("k").alias("n_sentences"), F.count("*").alias("n_documents"))
 
 
-_FRAMES = ["transport_access", "housing_cost", "health_care", "school_family", "public_order"]
+_FRAMES = ["health_care", "heritage_arts", "housing_cost", "land_nature", "local_democracy", "press_trust", "public_order", "school_family", "transport_access", "volunteering"]
 
 
-@query("frame_counts_by_document", f"with f as ({_FRAME}) select document_id, " + ", ".join(f"count(*) filter (where frame = '{x}') as frame_{x}" for x in _FRAMES) + " from f group by document_id")
+@query("frame_counts_by_document", f"with f as ({_FRAME}) select document_id, " + ", ".join(f"count(*) filter (where frame = '{x}') as frame_{x}" for x in _FRAMES) + f", count(*) filter (where frame not in ({', '.join(repr(x) for x in _FRAMES)})) as frame_other from f group by document_id")
 def frame_counts_by_document(spark: SparkSession, d: str) -> DataFrame:
+    """A column for each frame of the scheme, and one for all others, so that every sentence is counted."""
     f = load(spark, d, "frame_candidates").filter(F.trim("frame") != "").select("document_id", "sentence_id", F.lower(F.trim("frame")).alias("frame")).distinct()
-    return discourse.category_counts(f, category="frame", values=_FRAMES, prefix="frame")
+    f = f.withColumn("frame", F.when(F.col("frame").isin(_FRAMES), F.col("frame")).otherwise("other"))
+    return discourse.category_counts(f, category="frame", values=[*_FRAMES, "other"], prefix="frame")
 
 
 @query("frame_counts_by_document_and_frame", f"with f as ({_FRAME}) select document_id, frame, count(*) as n_sentences from f group by document_id, frame")
 def frame_counts_by_document_and_frame(spark: SparkSession, d: str) -> DataFrame:
-    """Every frame of every document as rows; ``frame_counts_by_document`` has columns for ``_FRAMES`` only."""
+    """Every frame of every document as rows."""
     f = load(spark, d, "frame_candidates").filter(F.trim("frame") != "").select("document_id", "sentence_id", F.lower(F.trim("frame")).alias("frame")).distinct()
     return f.groupBy("document_id", "frame").agg(F.count("*").alias("n_sentences"))
 

@@ -43,6 +43,24 @@ def test_pairs_against_brute_force(spark):
     assert cooccurrence.cooccurrence(records.limit(0)).count() == 0
 
 
+def test_hot_items_are_merged_whole(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "ENTRIES_IN_MEMORY", 50)
+    rows = [("k", i, sorted({"hot", f"x{i % 90}", f"y{i % 7}"})) for i in range(3000)]
+    df = spark.createDataFrame(rows, "kind string, record int, items array<string>").repartition(5)
+    got = {(r.item_1, r.item_2): (r.n12, r.n1, r.n2, r.n) for r in cooccurrence.cooccurrence(df).collect()}
+    assert len(got) == 90 + 7 + 90 * 7 and got["hot", "x4"] == (34, 3000, 34, 3000) and got["hot", "y0"][0] == sum(i % 7 == 0 for i in range(3000))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(8, 500), st.integers(0, 2000), st.integers(0, 2000), st.integers(0, 10**6))
+def test_significance_takes_no_case_of_the_default_lift(n12, more_1, more_2, rest):
+    n1, n2 = n12 + more_1, n12 + more_2
+    n = n1 + n2 - n12 + rest
+    if n12 * n >= 2.5 * n1 * n2:
+        cells = [(n12, n1, n2), (n1 - n12, n1, n - n2), (n2 - n12, n - n1, n2), (n - n1 - n2 + n12, n - n1, n - n2)]
+        assert 2 * sum(k * math.log(k * n / (x * y)) for k, x, y in cells if k) >= 5.06
+
+
 # ---- repeated lines
 
 
@@ -74,6 +92,26 @@ def test_long_frequent_sequences_are_whole(spark):
     assert repeated_lines.frequent_sequences(articles(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("max_gap", [0, 1, None])
+def test_frequent_sequences_against_brute_force(spark, max_gap):
+    rng = random.Random(8)
+    documents = [[rng.choice("abcdx") * 2 for _ in range(rng.randrange(1, 8))] for _ in range(14)]
+    rows = [(f"d{i}", "http://a.example/", "\n".join(lines), None) for i, lines in enumerate(documents)]
+    df = articles(spark, rows)
+    single = {x for x in "abcdx" if sum(x * 2 in d for d in documents) >= 4}
+    want: dict[tuple, set] = {}
+    for i, lines in enumerate(documents):
+        kept = [x[0] for x in lines if x[0] in single]
+        for n in range(1, len(kept) + 1):
+            for at in itertools.combinations(range(len(kept)), n):
+                if max_gap is None or all(b - a <= max_gap + 1 for a, b in zip(at, at[1:])):
+                    want.setdefault(tuple(kept[k] for k in at), set()).add((i, at[-1]))
+    want = {p: (len({i for i, _ in w}), len(w)) for p, w in want.items() if len({i for i, _ in w}) >= 4}
+    names = {r.id: r.key[0] for r in repeated_lines.line_names(df).collect()}
+    got = repeated_lines.frequent_sequences(df, min_documents=4, max_gap=max_gap).collect()
+    assert {tuple(names[x] for x in r.pattern): (r.documents, r.occurrences) for r in got} == want and len(got) == len(want)
+
+
 # ---- tokenizer
 
 
@@ -132,6 +170,16 @@ def test_containers_hold_each_item_once(spark):
     assert packing.fill_containers(df.limit(0), item="item", size="size").count() == 0
 
 
+def test_any_number_of_items_without_size(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 50)
+    empty = spark.range(5000).select(F.concat(F.lit("e"), "id").alias("item"), F.lit(0).cast("long").alias("size"))
+    assert len({r.container_id for r in packing.fill_containers(empty.repartition(3), item="item", size="size").collect()}) == 3
+    some = empty.unionByName(spark.range(40).select(F.concat(F.lit("s"), "id").alias("item"), F.lit(500).cast("long").alias("size"))).repartition(4)
+    out = packing.fill_containers(some, item="item", size="size", capacity=1000).collect()
+    used = check_containers(out, {**{f"e{i}": 0 for i in range(5000)}, **{f"s{i}": 500 for i in range(40)}}, 1000)
+    assert len(out) == 5040 and len(used) <= 24
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=200), st.integers(1, 8))
 def test_best_fit_keeps_its_bounds(sizes, limit):

@@ -124,12 +124,33 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_occurrences(load(spark, d, "articles")).select("document_id", "line_no")
 
 
-@query("p5_sequences")
+@query("p5_sequences", _P5 + """, q as (select document_id, site, list(k order by line_no) as ks from k join f using (site, k) group by 1, 2),
+i as (select document_id, site, ks, unnest(range(1, len(ks) + 1)) as a from q), s as (select document_id, site, ks, a, unnest(range(a, len(ks) + 1)) as b from i),
+o as (select document_id, site, ks[a:b] as p from s)
+select len(p) as length, md5(site || chr(10) || array_to_string(p, chr(10))) as pattern, count(distinct document_id) as documents, count(*) as occurrences from o group by site, p having count(distinct document_id) >= 8""")
 def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.frequent_sequences(load(spark, d, "articles"))
-
-
-@query("p5_clean")
+    """Frequent sequences of a site; ``pattern`` is the digest of the site and its lines' keys."""
+    articles = load(spark, d, "articles")
+    found = repeated_lines.frequent_sequences(articles).withColumn("n", F.monotonically_increasing_id())
+    found = cut_lineage(found)
+    at = found.select("n", F.posexplode("pattern").alias("at", "id"))
+    keys = at.join(repeated_lines.line_names(articles), "id").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("at", "site", "key"))).alias("k"))
+    digest = F.md5(F.concat_ws("\n", F.col("k")[0]["site"], F.array_join(F.transform("k", lambda x: x["key"]), "\n")))
+    return found.join(keys, "n").select(F.col("length").cast("bigint").alias("length"), digest.alias("pattern"), "documents", "occurrences")
+
+
+@query("p5_clean", _P5 + """, r as (select document_id, body, paragraphs, regexp_replace(regexp_extract(lower(final_url), '^[a-z][a-z0-9+.\\-]*://([^/:?#]+)', 1), '^www\\.', '') as site,
+ row_number() over (partition by document_id order by body, paragraphs nulls first) as n from articles where document_id is not null),
+l as (select document_id, unnest(string_split(body, chr(10))) as line, unnest(range(1, len(string_split(body, chr(10))) + 1)) as line_no from r where n = 1 and body is not null),
+g as (select document_id, line_no from k join f using (site, k)),
+kept as (select document_id, string_agg(line, chr(10) order by line_no) filter (where g.line_no is null) as body, count(g.line_no) as gone from l left join g using (document_id, line_no) group by document_id),
+pp as (select document_id, site, unnest(paragraphs) as p, unnest(range(1, len(paragraphs) + 1)) as i from r where n = 1),
+pk as (select document_id, site, p, i, regexp_replace(lower(trim(regexp_replace(p, '[\\s\\p{Z}]+', ' ', 'g'))), '\\d+', '0', 'g') as k from pp),
+ids as (select distinct document_id, site, k from k join f using (site, k)),
+pl as (select document_id, list(p order by i) filter (where ids.k is null) as ps, count(ids.k) as n_gone from pk left join ids using (document_id, site, k) group by document_id)
+select r.document_id, case when r.body is not null then coalesce(kept.body, '') end as body, case when r.paragraphs is null then null else coalesce(pl.ps, []) end as paragraphs,
+ cast(coalesce(kept.gone, 0) as integer) as n_removed_lines, cast(case when r.paragraphs is not null then coalesce(pl.n_gone, 0) end as integer) as n_removed_paragraphs
+from r left join kept using (document_id) left join pl using (document_id) where r.n = 1""")
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(load(spark, d, "articles"))
 

@@ -21,6 +21,7 @@ from textloom.runtime import cut_lineage
 OPEN_BINS = 64
 FULL_ENOUGH = 0.995  # an open container filled so far is closed with its task
 FAN_IN = 16
+HELD = 10_000  # items of size 0 that wait for the first container to close
 
 
 class BestFit:
@@ -52,7 +53,7 @@ class BestFit:
             bin_ = self._take(free)
         else:
             if self.count >= self.limit:
-                closed.append(self._take((self.bits & -self.bits).bit_length() - 1))  # the fullest
+                closed.append(self.fullest())
             free, bin_ = self.capacity, []
         bin_.append(item)
         if free == size:
@@ -61,6 +62,10 @@ class BestFit:
             self._put(free - size, bin_)
         return closed
 
+    def fullest(self) -> list:
+        """Closes the fullest container; an empty one where none is open."""
+        return self._take((self.bits & -self.bits).bit_length() - 1) if self.bits else []
+
     def rest(self) -> Iterator[tuple[int, list]]:
         for free in sorted(self.by_free):
             for bin_ in self.by_free[free]:
@@ -75,9 +80,14 @@ def _fill(capacity: int, open_bins: int, level: int, last: bool) -> Callable[[It
         context = TaskContext.get()
         number = ((level << 22) + (context.partitionId() if context else 0)) << 36
         packer, rows = BestFit(capacity, open_bins), []
+        closed: int | None = None  # the container that closed last; items without size go straight into it
+        sizeless: list[tuple] = []
 
         def close(bin_: list, is_open: bool) -> None:
-            nonlocal number
+            nonlocal number, closed
+            if not is_open:
+                closed, bin_ = number, [*bin_, *sizeless]
+                sizeless.clear()
             rows.extend((number, *item, is_open) for item in bin_)
             number += 1
 
@@ -99,12 +109,21 @@ def _fill(capacity: int, open_bins: int, level: int, last: bool) -> Callable[[It
 
         # The remainders of other tasks are few: they go in by falling size.
         for n, item in items() if level == 0 else sorted(items(), key=lambda x: (-x[0], x[1])):
-            for bin_ in packer.add(n, item):
-                close(bin_, False)
+            if n:
+                for bin_ in packer.add(n, item):
+                    close(bin_, False)
+            elif closed is not None:
+                rows.append((closed, *item, False))
+            else:
+                sizeless.append(item)
+                if len(sizeless) >= HELD:
+                    close(packer.fullest(), False)
             if len(rows) >= 20_000:
                 yield table()
         for free, bin_ in packer.rest():
             close(bin_, not last and free > (1 - FULL_ENOUGH) * capacity)
+        if sizeless:  # at most HELD: with the other remainders, or in a container of their own at the end
+            close(list(sizeless), not last)
         yield table()
 
     return run
@@ -114,8 +133,8 @@ def fill_containers(items: DataFrame, *, item: str, size: str, capacity: int = 2
     """``container_id, item, part, first_token, n_tokens``: each item once, in containers of ``capacity``.
 
     Only an item larger than the capacity is split, into full parts and one remainder, numbered
-    from 0.  An item of size 0 (a null or empty text) takes a place but no space; a null size
-    counts as 0.  Repeated rows are items of their own.  An empty table gives no rows.
+    from 0.  An item of size 0 (a null or empty text) takes no space and goes into the container that closed last, so
+    any number of them needs no memory; a null size counts as 0.  Repeated rows are items of their own.  An empty table gives no rows.
     """
     names = ["item", "part", "first_token", "n_tokens"]
     rows = items.select(F.col(item).cast("string").alias("item"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("first_token"), F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint")).alias("n_tokens"))

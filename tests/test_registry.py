@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from textloom import queries_core, queries_extra, queries_tables, queries_text  # noqa: F401
+from textloom import queries_core, queries_extra, queries_panels, queries_tables, queries_text  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 

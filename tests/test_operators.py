@@ -173,6 +173,9 @@ def test_cosine_top_k_against_brute_force(spark):
     m = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(99, None)], "id long, v array<double>")
     got = vectors.cosine_top_k(df, record="id", vector="v", queries=df.filter("id < 5"), k=3).collect()
+    in_blocks = vectors.cosine_top_k(df, record="id", vector="v", queries=df.filter("id < 5"), k=3, query_block=2, vector_block=16).collect()
+    assert sorted((r.query_id, r.rank, r.id) for r in in_blocks) == sorted((r.query_id, r.rank, r.id) for r in got)
+    assert vectors.cosine_top_k(df, record="id", vector="v", queries=df.limit(0)).count() == 0
     u = m / np.linalg.norm(m, axis=1)[:, None]
     for q in range(5):
         want = [j for j in np.argsort(-(u @ u[q]), kind="stable") if j != q][:3]

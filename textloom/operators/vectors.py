@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,65 +14,55 @@ from pyspark.sql import functions as F
 from textloom.functions import stats
 
 QUERY_BLOCK = 2_000  # query vectors that a task holds at once
+VECTOR_BLOCK = 50_000  # vectors that a task holds at once
+NEAREST = "query_id bigint, id bigint, cosine double"
 
 
-def _search(queries: np.ndarray, ids: list, k: int):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray]] | None = None
-        for b in batches:
-            if not len(b):
-                continue
-            m = np.array([np.asarray(v, dtype=np.float64) for v in b["v"]])
-            length = np.linalg.norm(m, axis=1)
-            m = m / np.where(length > 0, length, 1.0)[:, None]
-            keys = b["id"].to_numpy()
-            sims = queries @ m.T
-            found = []
-            for i in range(len(ids)):
-                s, c = sims[i].copy(), keys
-                own = c == ids[i]
-                s[own] = -np.inf
-                if best is not None:
-                    s, c = np.r_[s, best[i][0]], np.r_[c, best[i][1]]
-                top = np.lexsort((c, -s))[:k]
-                found.append((s[top], c[top]))
-            best = found
-        if best is not None:
-            rows = [(ids[i], int(c), float(s)) for i, (ss, cc) in enumerate(best) for s, c in zip(ss, cc) if np.isfinite(s)]
-            yield pd.DataFrame(rows, columns=["query_id", "id", "cosine"])
+def _unit(values: pd.Series) -> np.ndarray:
+    m = np.array([np.asarray(v, dtype=np.float64) for v in values])
+    length = np.linalg.norm(m, axis=1)
+    return m / np.where(length > 0, length, 1.0)[:, None]
+
+
+def _search(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(queries) and len(rows):
+            keys, against = rows["id"].to_numpy(), _unit(rows["v"])
+            for i in range(0, len(queries), 256):
+                part = queries.iloc[i : i + 256]
+                for q, sims in zip(part["id"], _unit(part["v"]) @ against.T):
+                    sims[keys == q] = -np.inf
+                    best = np.lexsort((keys, -sims))[:k] if len(keys) <= 4 * k else _first(sims, keys, k)
+                    found.extend((q, int(keys[j]), float(sims[j])) for j in best if np.isfinite(sims[j]))
+        return pd.DataFrame(found, columns=["query_id", "id", "cosine"])
 
     return run
 
 
-def cosine_top_k(vectors: DataFrame, *, record: str, vector: str, queries: DataFrame, k: int = 5) -> DataFrame:
+def _first(sims: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """The k best with ties by key: everything down to the k-th value, then sorted."""
+    least = np.partition(sims, len(sims) - k)[len(sims) - k]
+    near = np.flatnonzero(sims >= least)
+    return near[np.lexsort((keys[near], -sims[near]))][:k]
+
+
+def cosine_top_k(vectors: DataFrame, *, record: str, vector: str, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """``query_id, id, cosine, rank``: for every query row its ``k`` nearest other rows, exactly.
 
-    Queries go out in blocks of ``QUERY_BLOCK``; each task keeps the k best of its part, so only k rows
-    per query and task are shuffled.  Ties go by id.  Null vectors are left out.
+    Queries and vectors are cut into blocks by hash, and each pair of blocks is compared by one task, which hands on k
+    rows per query; the driver sees the two numbers of rows only.  Ties go by id.  Null vectors are left out.
     """
-    q = queries.select(F.col(record).alias("id"), F.col(vector).alias("v")).filter("v is not null").orderBy("id")
-    rows = vectors.select(F.col(record).alias("id"), F.col(vector).alias("v")).filter("v is not null")
-    parts: list[DataFrame] = []
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        m = np.array([r["v"] for r in block], dtype=np.float64)
-        length = np.linalg.norm(m, axis=1)
-        return rows.mapInPandas(_search(m / np.where(length > 0, length, 1.0)[:, None], [r["id"] for r in block], k), "query_id bigint, id bigint, cosine double")
-
-    for r in q.toLocalIterator():
-        block.append(r)
-        if len(block) >= QUERY_BLOCK:
-            parts.append(search(block))
-            block = []
-    if block or not parts:
-        parts.append(search(block) if block else rows.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("cosine")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    q, rows = (df.select(F.col(record).cast("bigint").alias("id"), F.col(vector).alias("v")).filter("v is not null and id is not null") for df in (queries, vectors))
+    n_q, n_v = (max(1, -(-df.count() // block)) for df, block in ((q, query_block), (rows, vector_block)))
+
+    def blocks(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    pairs = blocks(q, "qb", n_q, "vb", n_v).groupBy("qb", "vb").cogroup(blocks(rows, "vb", n_v, "qb", n_q).groupBy("qb", "vb"))
     from textloom.operators.explore import stratified_head
 
-    return stratified_head(out, group="query_id", order=[F.desc("cosine"), F.col("id")], n=k).withColumnRenamed("r", "rank")
+    return stratified_head(pairs.applyInPandas(_search(k), NEAREST), group="query_id", order=[F.desc("cosine"), F.col("id")], n=k).withColumnRenamed("r", "rank")
 
 
 def cluster_summary(df: DataFrame, *, label: str) -> DataFrame:

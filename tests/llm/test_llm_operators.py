@@ -366,6 +366,19 @@ def test_reading_level_on_held_out_texts(spark):
     assert reading_level.reading_levels(texts.limit(0), marks, record="document_id", text="text").count() == 0
 
 
+def test_calibration_on_texts_left_out():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 5))
+    score = x @ np.array([2.0, -1.0, 0.5, 0.0, 0.0]) + rng.logistic(size=900)
+    y = np.digitize(score, [-1.5, 0.0, 1.5]) + 1
+    fit, held = slice(0, 600), slice(600, 900)
+    plain, model = reading_level.fit_ordinal(x[fit], y[fit]), reading_level.calibrated(x[fit], y[fit])
+    assert list(model.cuts) == sorted(model.cuts) and (model.predict(x[held]) == y[held]).mean() >= (plain.predict(x[held]) == y[held]).mean() - 0.02
+    below = 1 / (1 + np.exp(-(model.cuts[None, :] - ((x[held] - model.mean) / model.scale @ model.weights)[:, None])))
+    assert np.abs(below.mean(axis=0) - [(y[held] <= k).mean() for k in (1, 2, 3)]).max() < 0.06
+    assert reading_level.calibrated(x[:4], np.array([1, 2, 3, 4])).bands == [1, 2, 3, 4]
+
+
 # ---- language
 
 SAMPLES = {

@@ -4,6 +4,10 @@ Proportional-odds model: P(band <= j) = sigmoid(cut_j - w.x), with increasing cu
 penalty on w.  Features: lexical diversity, word rarity, connectives, a proxy of clause
 depth, and lengths.  Word rarity comes from the counts of all words of all texts, kept in a
 hash table of fixed size (its collected size doesn't grow with the data).
+
+The scores are calibrated to the graded texts: each of them is scored by a model fitted without
+its fold, and the slope and the cut points are then fitted anew on these scores alone, so they
+fit texts that the weights haven't seen.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from textloom.runtime import cut_lineage
 
 MIN_WORDS = 60
 MAX_LABELS = 20_000  # label rows the model is fitted on (expected number)
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # counters of words; on a larger vocabulary rare words share them, so take more
+FOLDS = 3  # parts that the calibration scores in turn
 PENALTY = 1e-3
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[.!?…]+(?:[\"”’»')\]]+)?(?:\s+|$)")
@@ -65,22 +70,25 @@ def features(text: str, rarity: dict[str, float] | Callable[[str], float]) -> tu
     ]
 
 
-def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    for batch in batches:
-        seen: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            seen.update(words_of(text))
-        for w, c in seen.items():
-            counts[crc32(w.encode()) % BUCKETS] += c
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
+def _word_counts(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, dtype=np.int64)
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                seen.update(words_of(text))
+            for w, c in seen.items():
+                counts[crc32(w.encode()) % buckets] += c
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
+
+    return run
 
 
-def word_table(texts: DataFrame, text: str) -> np.ndarray:
-    """Occurrences of all words of all texts by hash bucket: an array of ``BUCKETS`` numbers."""
-    rows = texts.select(text).mapInArrow(_word_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS rows
-    table = np.zeros(BUCKETS, dtype=np.int64)
+def word_table(texts: DataFrame, text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """Occurrences of all words of all texts by hash bucket: an array of ``buckets`` numbers."""
+    rows = texts.select(text).mapInArrow(_word_counts(buckets), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most ``buckets`` rows
+    table = np.zeros(buckets, dtype=np.int64)
     for r in rows:
         table[r["bucket"]] = r["n"]
     return table
@@ -96,7 +104,7 @@ def _features(table: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterato
             if x is None:
                 if len(known) > 500_000:
                     known.clear()
-                x = known[w] = float(bits[crc32(w.encode()) % BUCKETS])
+                x = known[w] = float(bits[crc32(w.encode()) % len(bits)])
             return x
 
         for batch in batches:
@@ -155,10 +163,32 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, *, penalty: float = PENALTY, steps
     return OrdinalModel(mean, scale, theta[:d], cuts, bands)
 
 
-def text_features(texts: DataFrame, *, record: str, text: str) -> DataFrame:
+def calibrated(x: np.ndarray, y: np.ndarray, *, folds: int = FOLDS, penalty: float = PENALTY) -> OrdinalModel:
+    """The model of all rows, its slope and cuts fitted on scores that come from the other folds."""
+    model = fit_ordinal(x, y, penalty=penalty)
+    if len(model.bands) < 2:
+        return model
+    fold, scores = np.arange(len(y)) % folds, np.zeros(len(y))
+    for f in range(folds):
+        inside = fold != f
+        if len(set(y[inside].tolist())) < len(model.bands):
+            return model  # too few labels to leave some out
+        part = fit_ordinal(x[inside], y[inside], penalty=penalty, steps=500)
+        # Folds differ in scale: their scores are moved onto that of the whole model.
+        own, whole = ((x[inside] - m.mean) / m.scale @ m.weights for m in (part, model))
+        slope, shift = np.polyfit(own, whole, 1)
+        scores[fold == f] = slope * ((x[fold == f] - part.mean) / part.scale @ part.weights) + shift
+    line = fit_ordinal(scores[:, None], y, penalty=penalty)
+    a = line.weights[0] / line.scale[0]
+    if a <= 0:
+        return model
+    return OrdinalModel(model.mean, model.scale, model.weights * a, line.cuts + a * line.mean[0], model.bands)
+
+
+def text_features(texts: DataFrame, *, record: str, text: str, buckets: int = BUCKETS) -> DataFrame:
     """``id, n_words, x`` of every text; null texts count as empty."""
     slim = texts.select(F.col(record).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    table = word_table(slim, "text")
+    table = word_table(slim, "text", buckets)
     return slim.mapInArrow(_features(table), "id string, n_words int, x array<double>")
 
 
@@ -172,17 +202,17 @@ def labelled_features(found: DataFrame, labels: DataFrame, *, record: str, band:
     return np.array([r["x"] for r in got], dtype=float).reshape(len(got), len(FEATURES)), np.array([r["band"] for r in got], dtype=int)
 
 
-def reading_levels(texts: DataFrame, labels: DataFrame, *, record: str, text: str, label_record: str = "document_id", band: str = "band", min_words: int = MIN_WORDS) -> DataFrame:
+def reading_levels(texts: DataFrame, labels: DataFrame, *, record: str, text: str, label_record: str = "document_id", band: str = "band", min_words: int = MIN_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """``id, n_words, score, band`` of each text with at least ``min_words`` words.
 
     The score and the cuts are plain expressions.  Without labelled texts there are no rows.
     """
-    found = cut_lineage(text_features(texts, record=record, text=text))
+    found = cut_lineage(text_features(texts, record=record, text=text, buckets=buckets))
     x, y = labelled_features(found, labels, record=label_record, band=band)
     long_enough = found.filter(F.col("n_words") >= min_words)
     if not len(y):
         return long_enough.select("id", "n_words", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("band")).limit(0)
-    model = fit_ordinal(x, y)
+    model = calibrated(x, y)
     score = F.lit(float(-(model.mean / model.scale) @ model.weights))
     for i, w in enumerate(model.weights / model.scale):
         score = score + F.col("x")[i] * F.lit(float(w))

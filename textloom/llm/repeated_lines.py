@@ -60,6 +60,7 @@ def prefix_span(sequences: DataFrame, *, min_documents: int = MIN_DOCUMENTS, max
     that of the last line.  ``max_gap`` other frequent lines may stand between two lines of a pattern, with None any number
     of them; the places of one document and pattern are distinct.
     """
+    sequences = cut_lineage(sequences)  # read three times
     lines = sequences.select("document_id", F.filter("ids", lambda x: x.isNotNull()).alias("patterns"))
     patterns = cut_lineage(frequent_patterns(lines, min_documents=min_documents))
     placed = sequences.select("document_id", F.posexplode("ids").alias("place", "pattern")).filter("pattern is not null")

@@ -187,9 +187,20 @@ def term_pattern(term: str) -> str:
 
 
 def lexicon_hits(text: Column, terms: list[str]) -> Column:
-    """Sorted distinct lower-case matches of whole terms; overlapping terms each count (one pattern per term)."""
+    """Sorted distinct lower-case matches of whole terms; overlapping terms each count (one pattern per term).
+
+    One pattern of all terms comes first, so that a text without any of them is read once.
+    """
+    if not terms:
+        return F.array().cast("array<string>")
     found = [F.regexp_extract_all(text, F.lit(term_pattern(t)), F.lit(0)) for t in terms]
-    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*found)), F.lower)))
+    hits = F.array_sort(F.array_distinct(F.transform(F.flatten(F.array(*found)), F.lower)))
+    return F.when(text.rlike(any_term_pattern(terms)), hits).otherwise(F.array().cast("array<string>"))
+
+
+def any_term_pattern(terms: list[str]) -> str:
+    """Matches a text that has any of the terms as a whole."""
+    return r"(?iU)(?<!\w)(?:" + "|".join("".join(c if c.isalnum() or c in " _'" else "\\" + c for c in t) for t in terms) + r")(?!\w)"
 
 
 def quotation_flag(text: Column) -> Column:

@@ -63,10 +63,21 @@ def flagged(sentences: DataFrame, *, reporting: list[str] | None = None, presupp
 def lexicon_candidates(sentences: DataFrame, lexicon: dict[str, list[str]], *, label: str = "frame") -> DataFrame:
     """One row per sentence and category with a match: ``<label>, matched_terms, validation_status``."""
     found = F.array(*[F.struct(F.lit(k).alias("c"), text.lexicon_hits(F.col("sentence"), terms).alias("h")) for k, terms in lexicon.items()])
-    rows = sentences.select("document_id", "sentence_id", "sentence_index", F.explode(F.filter(found, lambda x: F.size(x["h"]) > 0)).alias("f"))
+    every = [t for terms in lexicon.values() for t in terms]
+    some = sentences.filter(F.col("sentence").rlike(text.any_term_pattern(every))) if every else sentences.limit(0)
+    rows = some.select("document_id", "sentence_id", "sentence_index", F.explode(F.filter(found, lambda x: F.size(x["h"]) > 0)).alias("f"))
     return rows.select("document_id", "sentence_id", "sentence_index", F.col("f.c").alias(label), F.array_join("f.h", "|").alias("matched_terms"), F.lit(UNREVIEWED).alias("validation_status"))
 
 
+# Words that signal a strategy of legitimation.
+STRATEGIES = {
+    "authorisation": "expert, official, authority, law, court, research, evidence".split(", "),
+    "moral_evaluation": "right, wrong, duty, moral, immoral, fair, unfair, justice".split(", "),
+    "rationalisation": "because, therefore, so that, in order to, necessary, practical".split(", "),
+    "mythopoesis": "story, history teaches, lesson, example, once, future generations".split(", "),
+}
+
+
 def marker_counts(df: DataFrame, *, record: str, body: str, markers: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per document with a column of token counts per marker list; absent markers are 0."""
     rows = df.select(F.col(record).alias("document_id"), text.tokens(F.col(body)).alias("toks"))

@@ -48,6 +48,7 @@ CONTEXTUAL = {
     "shell_word_sh": r"(?i)\b(?:shell|sh)\b",
     "exploit_term": r"(?i)\b(?:exploit kit|payload|shellcode|zero-day|0day)\b",
 }
+# What counts as a URL, a long base64 and a long hexadecimal run.
 URL = r"(?i)\b(?:https?|ftp|file|data|javascript|vbscript|about):(?://)?[^\s<>\"'{}|\\^`\[\]]+"
 BASE64 = r"(?<![A-Za-z0-9+/=])(?:[A-Za-z0-9+/]{4}){32,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?(?![A-Za-z0-9+/=])"
 HEX_BLOB = r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){64,}(?![0-9A-Fa-f])"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import stats, text, urls
 from textloom.operators import discourse, explore, html, images, lexical, quality, similarity, temporal, vectors
 from textloom.queries_core import query
+from textloom.queries_text import CONTENT, tok
 from textloom.runtime import cut_lineage, load
 
 # ---- audits
@@ -148,13 +149,26 @@ def linked_images(spark: SparkSession, d: str) -> DataFrame:
     return images.linked_images(load(spark, d, "images"), load(spark, d, "articles")).select("image_id", "document_id", "title")
 
 
-@query("caption_overlap")
+def _content_set(column: str) -> str:
+    return f"list_distinct({CONTENT.replace('toks', '(' + tok(column) + ')')})"
+
+
+_OVERLAP = f"""with i as (select image_id, arg_min({{'d': document_id, 'f': figcaption, 'a': alt_text}}, (retrieved_at_utc, collection_run_id)) as x from images group by image_id),
+a as (select document_id, arg_min(title, (retrieved_at_utc, title)) as title from articles group by document_id),
+j as (select image_id, a.document_id, coalesce(nullif(trim(x.f), ''), nullif(trim(x.a), ''), '') as cap, coalesce(title, '') as title from i join a on a.document_id = x.d),
+w as (select image_id, document_id, cap, {_content_set('cap')} as c, {_content_set('title')} as t from j),
+s as (select image_id, document_id, cap, case when len(c) + len(t) = 0 then 0 else len(list_intersect(c, t))::double / len(list_distinct(list_concat(c, t))) end as j from w),
+o as (select image_id, document_id, j, round(j, 6) as jaccard, case when cap = '' then 'no_caption' when j >= 0.3 then 'reinforcing_candidate' when j <= 0 then 'divergent_candidate' else 'complementary_candidate' end as relation from s)
+"""
+
+
+@query("caption_overlap", _OVERLAP + "select image_id, document_id, jaccard, relation from o")
 def caption_overlap(spark: SparkSession, d: str) -> DataFrame:
     linked = images.linked_images(load(spark, d, "images"), load(spark, d, "articles"))
     return images.caption_overlap(linked).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("caption_relation_review")
+@query("caption_relation_review", _OVERLAP + ", r as (select *, row_number() over (partition by relation order by j desc, image_id) as r from o) select image_id, document_id, jaccard, relation, cast(r as integer) as r from r where r <= 20")
 def caption_relation_review(spark: SparkSession, d: str) -> DataFrame:
     linked = images.linked_images(load(spark, d, "images"), load(spark, d, "articles"))
     return explore.stratified_head(images.caption_overlap(linked), group="relation", order=[F.desc("jaccard"), F.col("image_id")], n=20).withColumn("jaccard", F.round("jaccard", 6))
@@ -212,7 +226,11 @@ def proper_noun_edges(spark: SparkSession, d: str) -> DataFrame:
     return discourse.cooccurrence_edges(t, group="sentence", item="item")
 
 
-@query("predications")
+@query("predications", """with t as (select document_id, token_index, min(lower(coalesce(lemma, "lower"))) as lemma, min(text) as text, min(pos) as pos, min(dep) as dep, min(head_index) as head_index, bool_and(is_alpha) as is_alpha from tokens group by 1, 2),
+m as (select document_id, head_index as token_index, array_to_string(list_sort(list(distinct lemma)), '|') as modifiers from t where dep in ('amod', 'compound', 'appos') and is_alpha group by 1, 2),
+j as (select n.document_id, n.token_index, n.text as entity, coalesce(m.modifiers, '') as modifiers, coalesce(case when n.dep in ('nsubj', 'nsubjpass', 'obj', 'dobj', 'pobj') then g.lemma end, '') as predicate
+ from t n left join m on m.document_id = n.document_id and m.token_index = n.token_index left join t g on g.document_id = n.document_id and g.token_index = n.head_index where n.pos = 'PROPN')
+select * from j where modifiers <> '' or predicate <> ''""")
 def predications(spark: SparkSession, d: str) -> DataFrame:
     return discourse.predications(load(spark, d, "tokens"), heads=["nsubj", "nsubjpass", "obj", "dobj", "pobj"], modifiers=["amod", "compound", "appos"])
 

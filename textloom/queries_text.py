@@ -235,6 +235,16 @@ def lexicon_counts_by_document(spark: SparkSession, d: str) -> DataFrame:
     return discourse.category_counts(c, category="frame", values=list(discourse.FRAMES), prefix="frame")
 
 
+_STRATEGY_HITS = " union all ".join(f"select doc_id, sentence_index, '{f}' as strategy, '{t}' as term from s where regexp_matches(sentence, '{_lex(t)}')" for f, terms in discourse.STRATEGIES.items() for t in terms)
+
+
+@query("strategy_counts", f"with {_SENT}, h as ({_STRATEGY_HITS}) select strategy, count(distinct (doc_id, sentence_index)) as n_sentences, count(distinct doc_id) as n_documents from h group by strategy")
+def strategy_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = discourse.lexicon_candidates(_sentences(spark, d), discourse.STRATEGIES, label="strategy")
+    per = c.groupBy("strategy", "document_id").agg(F.count("*").alias("k"))
+    return per.groupBy("strategy").agg(F.sum("k").alias("n_sentences"), F.count("*").alias("n_documents"))
+
+
 _HIT = "array_to_string(list_sort(list_filter(list_distinct({t}), lambda x: x in ({v}))), '|')"
 _REP, _PRE = (", ".join(f"'{w}'" for w in ws) for ws in (discourse.REPORTING_VERBS, discourse.PRESUPPOSITION))
 
@@ -256,13 +266,14 @@ def marker_totals(spark: SparkSession, d: str) -> DataFrame:
     return discourse.column_totals(wide, list(discourse.MARKERS))
 
 
-@query("named_mentions")
+@query("named_mentions", f"""with {_SENT}, m as (select doc_id, lower(unnest(regexp_extract_all(' ' || sentence, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(\\p{{Lu}}[\\p{{L}}’'']+(?: \\p{{Lu}}[\\p{{L}}’'']+)+)', 1))) as e from s)
+select e as entity_normalised, count(*) as n_mentions, count(distinct doc_id) as n_documents from m group by e order by n_mentions desc, entity_normalised limit 250""")
 def named_mentions(spark: SparkSession, d: str) -> DataFrame:
     m = discourse.named_mentions(_sentences(spark, d))
     return m.groupBy("entity_normalised").agg(F.count("*").alias("n_mentions"), F.count_distinct("document_id").alias("n_documents")).orderBy(F.desc("n_mentions"), "entity_normalised").limit(250)
 
 
-_FOOT = [("do_you_like_this_page", r"\bDo you like this page\??"), ("reaction_section", r"\bShowing\s+\d+\s+reactions?\b"), ("sign_in_section", r"\bSign in with\b"), ("create_account", r"\bCreate an account\b"), ("post_comment", r"\bPost your comment\b")]
+_FOOT = [(name, p.removeprefix("(?i)")) for name, p in text.FOOTER_MARKERS.items()]
 _FOOT_AT = ", ".join(f"{{'at': coalesce(nullif(case when regexp_matches(b, '(?i){p}') then strpos(b, regexp_extract(b, '(?i){p}')) else 0 end, 0), 2147483647), 'name': '{n}'}}" for n, p in _FOOT)
 
 

@@ -79,10 +79,14 @@ def last_wins(df: DataFrame, *, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("x")).select(key, "x.*")
 
 
-def csv_table(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None, *, sep: str = ",") -> DataFrame:
-    """A CSV file with a header (plain or gzip), only the wanted columns."""
+def csv_table(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None, *, sep: str = ",", partitions: int | None = None) -> DataFrame:
+    """A CSV file with a header (plain or gzip), only the wanted columns.
+
+    A gzip file can't be split and is read by one task; ``partitions`` spreads its rows before what follows.
+    """
     df = spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"').option("multiLine", False).csv(path)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return df.repartition(partitions) if partitions else df
 
 
 def comparator_texts(spark: SparkSession, path: str) -> DataFrame:

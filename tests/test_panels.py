@@ -1,3 +1,4 @@
+import base64
 import random
 
 import pytest
@@ -128,3 +129,49 @@ def test_remaining_column_functions(spark):
     got = row.select(urls.allowed_article(F.col("u"), hosts=["www.a.example", "a.example"], excluded_paths=["/about"], excluded_prefixes=["/tag/"]), urls.url_hash(F.lit("abc")), text.truthy(F.col("t"))).first()
     assert got[0] is True and got[1] == "ba7816bf8f01cfea4141" and got[2] is True
 
+
+
+def test_plausible_base64(spark):
+    noise, words = bytes(range(256)) * 2, b"plain words that were only written down in another way " * 4
+    rows = [(base64.b64encode(noise).decode(), True), (base64.b64encode(words).decode(), False), (base64.b64encode(b"%PDF" + words).decode(), True), (base64.b64encode(noise).decode()[:124], False), ("A" * 130, False), ("", False), (None, False)]
+    df = spark.createDataFrame(rows, "b string, want boolean")
+    assert [(bool(r[0]), r[1]) for r in df.select(panels.plausible_base64(F.col("b")), "want").collect()] == [(w, w) for _, w in rows]
+
+
+def test_url_facts(spark):
+    rows = [("HTTP://u@A.example:80/x/Setup.EXE).",), ("https://a.example/x.html?y=.exe",), ("data:text/plain,x",), (None,), ("https://a.example",)]
+    got = [tuple(r) for r in panels.url_facts(spark.createDataFrame(rows, "u string"), url="u").collect()]
+    assert got == [
+        ("HTTP://u@A.example:80/x/Setup.EXE", "http", "a.example", ".exe", True),
+        ("https://a.example/x.html?y=.exe", "https", "a.example", ".html", False),
+        ("data:text/plain,x", "data", None, "", False),
+        ("https://a.example", "https", "a.example", "", False),
+    ]
+
+
+def test_document_filter(spark):
+    schema = "id string, title string, author string, tags array<string>, year int, date_flag string, image_count int, word_count int"
+    df = spark.createDataFrame([("d1", "Old Hall", "A", ["x", "y"], 2020, "ok", 1, 50), ("d2", None, None, None, None, "missing", 0, 0), ("d3", "Hall", "B", [], 2021, "future", 2, 500)], schema)
+    ids = lambda **k: {r.id for r in panels.document_filter(df, **k).collect()}
+    assert ids() == {"d1", "d2", "d3"} and ids(text=" HALL ") == {"d1", "d3"} and ids(text="d2") == {"d2"} and ids(tag="y") == {"d1"} and ids(year=2021) == {"d3"}
+    assert ids(date_flag="issue") == {"d2", "d3"} and ids(date_flag="ok") == {"d1"} and ids(has_image=False) == {"d2"} and ids(has_image=True, words=(0, 100)) == {"d1"} and ids(author="B") == {"d3"}
+
+
+def test_review_filter_and_rejects(spark):
+    df = spark.createDataFrame([("1", "d", "A hall", "x", "valid", True, None), ("2", "e", None, "y", "unreviewed", None, None)], "id string, document_id string, sentence string, category string, status string, quotation_flag boolean, reported_speech_flag boolean")
+    titles = spark.createDataFrame([("e", "Quay")], "document_id string, title string")
+    ids = lambda **k: {r.id for r in panels.review_filter(df, titles, **k).collect()}
+    assert ids(text="quay") == {"2"} and ids(quoted_only=True) == {"1"} and ids(category="y", status="unreviewed") == {"2"} and ids() == {"1", "2"}
+    kept, rejected = panels.split_by(df, F.col("quotation_flag"), F.lit("no quotation"))
+    assert [r.id for r in kept.collect()] == ["1"] and [(r.id, r.reject_reason) for r in rejected.collect()] == [("2", "no quotation")]
+
+
+def test_shown_text(spark):
+    row = spark.createDataFrame([("public_order", "<a & 'b'>", None)], "n string, h string, z string")
+    assert tuple(row.select(panels.title_case(F.col("n")), panels.html_escaped(F.col("h")), panels.html_escaped(F.col("z"))).first()) == ("Public Order", "&lt;a &amp; &#39;b&#39;&gt;", "")
+
+
+def test_examples_of_a_hot_group(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4990, "hot").otherwise("rare").alias("g"), (5000 - F.col("id")).alias("v"))
+    got = sorted((r.g, r.r, r.v) for r in panels.examples_per_group(df, group="g", order=[F.col("v")], n=2).collect())
+    assert got == [("hot", 1, 11), ("hot", 2, 12), ("rare", 1, 1), ("rare", 2, 2)]

@@ -111,6 +111,33 @@ def collocation_examples(df: DataFrame, *, record: str, body: str, nodes: list[s
     return best.groupBy("node").agg(joined.alias("examples"))
 
 
+def collocation_pair_examples(df: DataFrame, *, record: str, body: str, nodes: list[str], window: int = 5, around: int = 8, examples: int = 3, min_frequency: int = 5) -> DataFrame:
+    """``node, collocate, examples``: the first contexts of each pair in record and token order, joined by `` || ``.
+
+    Pairs with ``min_frequency`` co-occurrences or more; a node's place counts once for each collocate beside it.
+    """
+    toks = tokenised(df, record=record, body=body)
+    wanted = F.array(*[F.lit(x) for x in nodes])
+    at = toks.select("record", "toks", F.posexplode("toks").alias("at", "node")).filter(F.array_contains(wanted, F.col("node")))
+
+    def beside(n: int) -> tuple:
+        left = F.slice("toks", F.greatest(F.lit(1), F.col("at") + 1 - n), F.least(F.col("at"), F.lit(n)))
+        return left, F.slice("toks", F.col("at") + 2, n)
+
+    near = F.filter(F.concat(*beside(window)), lambda x: F.length(x) > 1)
+    start = F.greatest(F.lit(1), F.col("at") + 1 - around)
+    context = F.array_join(F.slice("toks", start, F.col("at") + 1 + around - start + 1), " ")
+    rows = at.select("record", "at", "node", context.alias("context"), near.alias("near"))
+    often = rows.select("node", F.explode("near").alias("collocate")).groupBy("node", "collocate").agg(F.count("*").alias("n")).filter(F.col("n") >= min_frequency).drop("n")
+    pairs = rows.select("record", "at", "node", "context", F.explode(F.array_distinct("near")).alias("collocate")).join(often, ["node", "collocate"])
+    # The first of each record come before the first of all, so that a frequent pair isn't sorted in one task.
+    order = Window.partitionBy("node", "collocate")
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("node", "collocate", "record").orderBy("at"))).filter(F.col("r") <= examples)
+    best = first.withColumn("r", F.row_number().over(order.orderBy("record", "at"))).filter(F.col("r") <= examples)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "context"))), lambda x: x["context"]), " || ")
+    return best.groupBy("node", "collocate").agg(joined.alias("examples"))
+
+
 def content_runs(tokens: DataFrame, *, pos: list[str], n: int = 2, min_frequency: int = 2) -> DataFrame:
     """N-grams inside runs of content words of one sentence: ``ngram, frequency, document_frequency``.
 

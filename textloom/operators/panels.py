@@ -198,3 +198,102 @@ def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, O
     """``df`` that counts as it runs: ``rows`` and the given aggregates, read from the observation afterwards."""
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counters.items()]), seen
+
+
+# ---- filters and audits of records
+
+
+def document_filter(df: DataFrame, *, text: str | None = None, year: int | None = None, author: str | None = None, tag: str | None = None, date_flag: str | None = None, has_image: bool | None = None, words: tuple[int, int | None] = (0, None)) -> DataFrame:
+    """Rows of ``(id, title, author, tags, year, date_flag, image_count, word_count)`` that keep all given conditions.
+
+    ``text`` is looked for in title, author, tags and id without regard to case; ``date_flag`` ``issue`` is any but ``ok``.
+    """
+    hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("author", F.lit("")), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), "id"))
+    conditions = [F.col("word_count") >= words[0]]
+    if words[1] is not None:
+        conditions.append(F.col("word_count") <= words[1])
+    if text:
+        conditions.append(hay.contains(text.strip().lower()))
+    if year is not None:
+        conditions.append(F.col("year") == year)
+    if author:
+        conditions.append(F.col("author") == author)
+    if tag:
+        conditions.append(F.array_contains("tags", tag))
+    if date_flag:
+        conditions.append(F.col("date_flag") != "ok" if date_flag == "issue" else F.col("date_flag") == date_flag)
+    if has_image is not None:
+        conditions.append(F.col("image_count") > 0 if has_image else F.col("image_count") == 0)
+    out = df
+    for c in conditions:
+        out = out.filter(c)
+    return out
+
+
+def review_filter(queue: DataFrame, documents: DataFrame | None = None, *, category: str | None = None, status: str | None = None, quoted_only: bool = False, text: str | None = None) -> DataFrame:
+    """Rows of a review queue by category, status, quotation or reported speech, and free text over its own and its document's fields."""
+    j = queue if documents is None else queue.join(documents.select("document_id", F.col("title").alias("document_title")), "document_id", "left")
+    if category:
+        j = j.filter(F.col("category") == category)
+    if status:
+        j = j.filter(F.col("status") == status)
+    if quoted_only:
+        j = j.filter(F.coalesce("quotation_flag", F.lit(False)) | F.coalesce("reported_speech_flag", F.lit(False)))
+    if text:
+        fields = [c for c in ("sentence", "context", "surface_form", "category", "document_id", "document_title") if c in j.columns]
+        j = j.filter(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in fields])).contains(text.strip().lower()))
+    return j
+
+
+def split_by(df: DataFrame, condition: Column, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep the condition, the others with ``reject_reason``); a null condition rejects."""
+    keeps = F.coalesce(condition, F.lit(False))
+    return df.filter(keeps), df.filter(~keeps).withColumn("reject_reason", reason)
+
+
+# Endings of files that can run.
+RUNNABLE = ".exe .dll .scr .com .bat .cmd .ps1 .psm1 .vbs .vbe .js .jse .jar .msi .msp .hta .apk .dmg .pkg .iso .img .lnk .reg .docm .xlsm .pptm .xlam .xll .sh .bash .zsh .ksh .pyc .so".split()
+# What the first 16 bytes of a file may hold, as hexadecimal digits.
+MAGIC = ("4D5A", "7F454C46", "504B0304", "25504446", "89504E47")
+
+
+def url_facts(df: DataFrame, *, url: str) -> DataFrame:
+    """``url, scheme, hostname, extension, is_runnable`` of each URL, without what ends a sentence."""
+    u = df.select(F.regexp_replace(url, r"[.,;:!?)\]}]+$", "").alias("url")).filter("url is not null")
+    path = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/?#]*)?([^?#]*)", 1))
+    extension = F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1)
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return u.select("url", F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("scheme"), F.when(host != "", host).alias("hostname"), extension.alias("extension"), extension.isin(RUNNABLE).alias("is_runnable"))
+
+
+def plausible_base64(blob: Column) -> Column:
+    """Whether a run of base64 is likely data: it decodes to 64 bytes or more, and they are hardly text or begin like a known file."""
+    compact = F.regexp_replace(blob, r"\s+", "")
+    digits = F.hex(F.try_to_binary(compact, F.lit("base64")))
+    size = F.length(digits) / 2
+    # A byte is two digits; those of printable characters, tabs and line ends are taken away.
+    plain = F.regexp_count(F.regexp_replace(digits, "(..)", "$1 "), F.lit(r"(?:[2-6][0-9A-F]|7[0-9A-E]|09|0A|0D) "))
+    start = F.regexp_replace(F.substring(digits, 1, 32), "(..)", "$1 ")
+    magic = F.lit(False)
+    for m in MAGIC:
+        magic = magic | start.contains(" ".join(m[i : i + 2] for i in range(0, len(m), 2)))
+    likely = (plain / F.greatest(F.lit(1.0), size) < 0.98) | magic
+    return F.coalesce((F.length(compact) >= 128) & (F.length(compact) % 4 == 0) & (size >= 64) & likely, F.lit(False))
+
+
+def examples_per_group(df: DataFrame, *, group: str, order: list[Column], n: int = 3) -> DataFrame:
+    """The first ``n`` rows of each group; a block of each group first, so that no group is sorted in one task."""
+    block = F.pmod(F.xxhash64(*[c for c in df.columns if c != group]), F.lit(64))
+    first = df.withColumn("_b", block).withColumn("_r", F.row_number().over(Window.partitionBy(group, "_b").orderBy(*order))).filter(F.col("_r") <= n)
+    return first.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("r") <= n).drop("_b", "_r")
+
+
+def title_case(name: Column) -> Column:
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def html_escaped(value: Column) -> Column:
+    out = F.coalesce(value.cast("string"), F.lit(""))
+    for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(c), F.lit(e))
+    return out

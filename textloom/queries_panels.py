@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import stats, text
 from textloom.operators import html, images, lexical, panels, temporal, timestamps
-from textloom.queries_core import SQL, query
+from textloom.queries_core import QUERIES, SQL, query
 from textloom.queries_tables import _FRAME, _LEMMA
 from textloom.queries_text import _KEY, CONTENT, NODES, TOKS, _keyness, document_readability, tok
 from textloom.runtime import load
@@ -268,3 +268,121 @@ def scaled_balances(spark: SparkSession, d: str) -> DataFrame:
 @query("numbered_events", "select event_id, row_number() over (order by ts, event_id) as row_number from events")
 def numbered_events(spark: SparkSession, d: str) -> DataFrame:
     return panels.numbered(load(spark, d, "events").select("event_id", "ts"), [F.col("ts"), F.col("event_id")]).select("event_id", "row_number")
+
+
+# ---- summaries, filters and examples
+
+
+@query("corpus_kpis", f"""with a as (select document_id, min(final_url) as u, min(coalesce(word_count, 0)) as w, min(retrieved_at_utc) as r, min(author) as author, min(len(coalesce(images, []))) as i, min(len(coalesce(paragraphs, []))) as p from articles group by document_id),
+t as (select document_id, token_index, min({_LEMMA}) as term from tokens where is_alpha group by 1, 2),
+g as (select count(distinct tag) as n_tags from (select unnest(tags) as tag from articles)), c as (select count(distinct image_id) as n_captions from images where trim(figcaption) <> '')
+select count(*) as n_documents, cast(sum(w) as bigint) as n_words, cast(sum(p) as bigint) as n_paragraphs, cast(sum(i) as bigint) as n_images, count(distinct author) as n_authors, count(distinct regexp_extract(u, '://([^/]+)', 1)) as n_hosts,
+ min(r) as first_retrieved, max(r) as last_retrieved, count(*) filter (where w = 0) as n_zero_word, count(*) filter (where w > 0 and w < 20) as n_short, count(*) filter (where i > 0) as n_with_images,
+ any_value(n_tags) as n_tags, any_value(n_captions) as n_captions, (select count(distinct term) from t) as n_unique_terms from a, g, c""")
+def corpus_kpis(spark: SparkSession, d: str) -> DataFrame:
+    articles = load(spark, d, "articles")
+    size = lambda c: F.size(F.coalesce(c, F.array().cast(dict(articles.dtypes)[c])))
+    a = articles.groupBy("document_id").agg(F.min("final_url").alias("u"), F.min(F.coalesce("word_count", F.lit(0))).alias("w"), F.min("retrieved_at_utc").alias("r"), F.min("author").alias("author"), F.min(size("images")).alias("i"), F.min(size("paragraphs")).alias("p"))
+    main = a.agg(
+        F.count("*").alias("n_documents"), F.sum("w").alias("n_words"), F.sum("p").alias("n_paragraphs"), F.sum("i").alias("n_images"), F.count_distinct("author").alias("n_authors"), F.count_distinct(F.regexp_extract("u", "://([^/]+)", 1)).alias("n_hosts"),
+        F.min("r").alias("first_retrieved"), F.max("r").alias("last_retrieved"), F.count_if(F.col("w") == 0).alias("n_zero_word"), F.count_if(F.col("w").between(1, 19)).alias("n_short"), F.count_if(F.col("i") > 0).alias("n_with_images"),
+    )
+    tags = articles.select(F.explode("tags").alias("t")).agg(F.count_distinct("t").alias("n_tags"))
+    captions = load(spark, d, "images").filter(F.trim("figcaption") != "").agg(F.count_distinct("image_id").alias("n_captions"))
+    term = F.lower(F.coalesce(F.when(F.trim("lemma") != "", F.trim("lemma")), F.col("lower")))
+    terms = load(spark, d, "tokens").filter("is_alpha").groupBy("document_id", "token_index").agg(F.min(term).alias("t")).agg(F.count_distinct("t").alias("n_unique_terms"))
+    out = main.withColumn("_k", F.lit(1))
+    for more in (tags, captions, terms):  # one row each
+        out = out.join(F.broadcast(more.withColumn("_k", F.lit(1))), "_k")
+    return out.drop("_k")
+
+
+_STATUSES = (("content", "content_status", "content_status"), ("footer", "status", "footer_truncation"))
+
+
+@query("status_histograms", " union all ".join(f"select '{name}' as field, {column} as value, count(*) as n from ({SQL[q]}) group by 2" for name, column, q in _STATUSES))
+def status_histograms(spark: SparkSession, d: str) -> DataFrame:
+    parts = [QUERIES[q](spark, d).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("field"), "value", "n") for name, column, q in _STATUSES]
+    return parts[0].unionByName(parts[1])
+
+
+@query("image_roles_by_period", """with i as (select image_id, min(document_id) as document_id, min(image_role) as image_role from images group by image_id), a as (select document_id, min(retrieved_at_utc) as r from articles group by document_id),
+j as (select image_role, r from i left join a using (document_id)), u as (select 'month' as unit, substr(r, 1, 7) as period, image_role from j union all select 'year', substr(r, 1, 4), image_role from j)
+select unit, period, image_role, count(*) as n from u group by 1, 2, 3""")
+def image_roles_by_period(spark: SparkSession, d: str) -> DataFrame:
+    i = load(spark, d, "images").groupBy("image_id").agg(F.min("document_id").alias("document_id"), F.min("image_role").alias("image_role"))
+    a = load(spark, d, "articles").groupBy("document_id").agg(F.min("retrieved_at_utc").alias("r"))
+    units = F.array(F.struct(F.lit("month").alias("unit"), F.substring("r", 1, 7).alias("period")), F.struct(F.lit("year").alias("unit"), F.substring("r", 1, 4).alias("period")))
+    return i.join(a, "document_id", "left").select("image_role", F.explode(units).alias("u")).groupBy("u.unit", "u.period", "image_role").agg(F.count("*").alias("n"))
+
+
+@query("lemma_sentences", f"""with o as (select distinct document_id, sentence_index, {_LEMMA} as lemma from tokens where is_alpha), t as (select lemma from o group by lemma order by count(*) desc, lemma limit 200),
+s as (select document_id, sentence_index, min(sentence) as sentence from frame_candidates group by 1, 2) select lemma, document_id, sentence_index, sentence from o join t using (lemma) join s using (document_id, sentence_index)""")
+def lemma_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of the 200 lemmas that are in the most sentences."""
+    lemma = F.lower(F.coalesce(F.when(F.trim("lemma") != "", F.trim("lemma")), F.col("lower")))
+    o = load(spark, d, "tokens").filter("is_alpha").select("document_id", "sentence_index", lemma.alias("lemma")).distinct()
+    top = o.groupBy("lemma").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lemma").limit(200).select("lemma")
+    s = load(spark, d, "frame_candidates").groupBy("document_id", "sentence_index").agg(F.min("sentence").alias("sentence"))
+    return o.join(F.broadcast(top), "lemma").join(s, ["document_id", "sentence_index"]).select("lemma", "document_id", "sentence_index", "sentence")  # 200 rows
+
+
+@query("systematic_events", "with n as (select event_id, row_number() over (order by ts, event_id) as r, count(*) over () as n from events) select event_id from n where r % cast(ceil(n / 1800.0) as integer) = 0")
+def systematic_events(spark: SparkSession, d: str) -> DataFrame:
+    from textloom.operators.explore import systematic_sample
+
+    rows = panels.numbered(load(spark, d, "events").select("event_id", "ts"), [F.col("ts"), F.col("event_id")])
+    return systematic_sample(rows, key="row_number").select("event_id")
+
+
+_CATALOGUE = "c as (select document_id as id, min(title) as title, min(author) as author, min(tags) as tags, min(cast(substr(retrieved_at_utc, 1, 4) as integer)) as year, case when min(published_at) is null then 'missing' else 'ok' end as date_flag, min(len(coalesce(images, []))) as image_count, min(word_count) as word_count from articles group by document_id)"
+
+
+@query("document_explorer", f"with {_CATALOGUE} select id, word_count from c where contains(lower(coalesce(title, '') || ' ' || coalesce(author, '') || ' ' || array_to_string(coalesce(tags, []), ' ') || ' ' || id), 'the') and image_count > 0 and date_flag = 'ok' and word_count between 100 and 2000")
+def document_explorer(spark: SparkSession, d: str) -> DataFrame:
+    a = load(spark, d, "articles")
+    c = a.groupBy(F.col("document_id").alias("id")).agg(F.min("title").alias("title"), F.min("author").alias("author"), F.min("tags").alias("tags"), F.min(F.substring("retrieved_at_utc", 1, 4).cast("int")).alias("year"), F.when(F.min("published_at").isNull(), "missing").otherwise("ok").alias("date_flag"), F.min(F.coalesce(F.size("images"), F.lit(0))).alias("image_count"), F.min("word_count").alias("word_count"))
+    return panels.document_filter(c, text="the", date_flag="ok", has_image=True, words=(100, 2000)).select("id", "word_count")
+
+
+@query("review_explorer", "with q as (select sentence_id, min(document_id) as document_id, min(lower(trim(frame))) as category, min(sentence) as sentence, bool_or(quotation_flag) as qf, bool_or(reported_speech_flag) as rf from frame_candidates where trim(frame) <> '' group by sentence_id), a as (select document_id, min(title) as title from articles group by document_id) select sentence_id from q left join a using (document_id) where category = 'press_trust' and (coalesce(qf, false) or coalesce(rf, false)) and contains(lower(coalesce(sentence, '') || ' ' || coalesce(category, '') || ' ' || coalesce(document_id, '') || ' ' || coalesce(title, '')), 'the')")
+def review_explorer(spark: SparkSession, d: str) -> DataFrame:
+    q = load(spark, d, "frame_candidates").filter(F.trim("frame") != "").groupBy("sentence_id").agg(F.min("document_id").alias("document_id"), F.min(F.lower(F.trim("frame"))).alias("category"), F.min("sentence").alias("sentence"), F.bool_or("quotation_flag").alias("quotation_flag"), F.bool_or("reported_speech_flag").alias("reported_speech_flag"))
+    a = load(spark, d, "articles").groupBy("document_id").agg(F.min("title").alias("title"))
+    return panels.review_filter(q, a, category="press_trust", quoted_only=True, text="the").select("sentence_id")
+
+
+@query("rejected_images", "select image_id, case when mime_type is null or mime_type not like 'image/%' then 'not_an_image' else 'other_host' end as reject_reason, count(*) as n from images where not coalesce(mime_type like 'image/%' and regexp_extract(lower(final_url), '://([^/:?#]+)', 1) in (select host from (select lower(host) as host from outlets union all select 'www.' || lower(host) from outlets)), false) group by 1, 2")
+def rejected_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images of other hosts or types; the hosts are those of the outlets, joined as a table."""
+    hosts = load(spark, d, "outlets").select(F.explode(F.array(F.lower("host"), F.concat(F.lit("www."), F.lower("host")))).alias("h")).distinct().withColumn("known", F.lit(True))
+    i = load(spark, d, "images").withColumn("h", F.regexp_extract(F.lower("final_url"), r"://([^/:?#]+)", 1)).join(hosts, "h", "left")
+    is_image = F.coalesce(F.col("mime_type").startswith("image/"), F.lit(False))
+    _, rejected = panels.split_by(i, is_image & F.col("known"), F.when(~is_image, "not_an_image").otherwise("other_host"))
+    return rejected.groupBy("image_id", "reject_reason").agg(F.count("*").alias("n"))
+
+
+@query("date_issues", "select o_orderkey, case when o_orderdate is null then 'missing' else 'future' end as flag from orders where o_orderdate is null or o_orderdate > timestamp '1997-01-01'")
+def date_issues(spark: SparkSession, d: str) -> DataFrame:
+    flag = temporal.date_quality("o_orderdate", F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))
+    return load(spark, d, "orders").select("o_orderkey", flag.alias("flag")).filter("flag <> 'ok'")
+
+
+@query("image_url_facts", r"""with u as (select image_id, regexp_replace(final_url, '[.,;:!?)\]}]+$', '') as url from (select distinct image_id, final_url from images) where final_url is not null),
+f as (select url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) as scheme, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') as hostname,
+ regexp_extract(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/?#]*)?([^?#]*)', 1)), '[^/.](\.[^./]+)$', 1) as extension from u)
+select url, scheme, hostname, extension, extension in ('.exe', '.dll', '.js', '.sh', '.jar', '.img', '.so') as is_runnable from f""")
+def image_url_facts(spark: SparkSession, d: str) -> DataFrame:
+    return panels.url_facts(load(spark, d, "images").select("image_id", "final_url").distinct(), url="final_url")
+
+
+@query("tag_examples", "with t as (select distinct lower(trim(t)) as tag, doc_id from (select doc_id, unnest(string_split(tags, '|')) as t from documents) where trim(t) <> ''), r as (select tag, doc_id, row_number() over (partition by tag order by doc_id) as r from t) select tag, doc_id, cast(r as integer) as r from r where r <= 3")
+def tag_examples(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "documents").select("doc_id", F.explode(F.split("tags", r"\|")).alias("t")).filter(F.trim("t") != "").select(F.lower(F.trim("t")).alias("tag"), "doc_id").distinct()
+    return panels.examples_per_group(t, group="tag", order=[F.col("doc_id")])
+
+
+@query("collocation_pair_examples", _COLLOCATIONS.replace("x as (select node", "e as (select node, unnest(list_distinct(list_filter(list_concat(toks[greatest(i - 5, 1):i - 1], toks[i + 1:i + 5]), lambda x: length(x) > 1))) as collocate, doc_id, i, array_to_string(toks[greatest(i - 8, 1):i + 8], ' ') as context from a),\nx as (select node")
+    + ", r as (select e.node, e.collocate, context, row_number() over (partition by e.node, e.collocate order by doc_id, i) as r from e join p on p.node = e.node and p.collocate = e.collocate) select node, collocate, string_agg(context, ' || ' order by r) as examples from r where r <= 3 group by 1, 2")
+def collocation_pair_examples(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.collocation_pair_examples(load(spark, d, "documents"), record="doc_id", body="text", nodes=NODES)

@@ -251,11 +251,11 @@ def test_registry(spark):
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["text_normalisation", "pattern_scan", "scan_blobs", "html_round_trip", "kmeans_agreement", "frame_rates_by_publication", "reextraction_difference", "p6_found", "p6_formats", "p6_order_inferred", "near_duplicate_pairs"])
+@pytest.mark.parametrize("name", ["text_normalisation", "pattern_scan", "scan_blobs", "html_round_trip", "kmeans_agreement", "frame_rates_by_publication", "reextraction_difference", "p6_found", "p6_formats", "p6_order_inferred", "near_duplicate_pairs", "topic_terms", "topic_stability"])
 def test_queries_without_sql_run(spark, sf, name):
     """Those with SQL are compared with it in ``test_registry``."""
     from textloom import queries_core, queries_extra, queries_panels, queries_tables, queries_text  # noqa: F401
 
-    assert {n for n in queries_core.QUERIES if n not in queries_core.SQL} == {"text_normalisation", "pattern_scan", "scan_blobs", "html_round_trip", "kmeans_agreement", "frame_rates_by_publication", "reextraction_difference", "p6_found", "p6_formats", "p6_order_inferred", "near_duplicate_pairs"}
+    assert {n for n in queries_core.QUERIES if n not in queries_core.SQL} == {"text_normalisation", "pattern_scan", "scan_blobs", "html_round_trip", "kmeans_agreement", "frame_rates_by_publication", "reextraction_difference", "p6_found", "p6_formats", "p6_order_inferred", "near_duplicate_pairs", "topic_terms", "topic_stability"}
     df = queries_core.QUERIES[name](spark, sf)
     assert df.columns and df.count() >= 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom import runtime
 from textloom.functions import stats, text, urls
-from textloom.operators import panels
+from textloom.operators import panels, topics
 
 
 def test_numbers_are_places_in_the_order(spark):
@@ -175,3 +175,28 @@ def test_examples_of_a_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4990, "hot").otherwise("rare").alias("g"), (5000 - F.col("id")).alias("v"))
     got = sorted((r.g, r.r, r.v) for r in panels.examples_per_group(df, group="g", order=[F.col("v")], n=2).collect())
     assert got == [("hot", 1, 11), ("hot", 2, 12), ("rare", 1, 1), ("rare", 2, 2)]
+
+
+def test_intermediate_tables_go_with_their_consumer(spark):
+    import os
+
+    with runtime.scratch():
+        path = runtime._written[-1][1] if runtime._written else None
+        df = runtime.cut_lineage(spark.range(3))
+        mine = runtime._written[-1][1]
+        local = mine.removeprefix("file:")
+        assert mine != path and df.count() == 3 and os.path.isdir(local)
+    assert not os.path.isdir(local) and (path is None or runtime._written[-1][1] == path)
+
+
+def test_topics_tell_two_subjects_apart(spark):
+    rng = random.Random(3)
+    words = {0: "ferry harbour pier tide sailor anchor".split(), 1: "pupil lesson teacher classroom exam desk".split()}
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(20))) for i in range(80)] + [(90, None), (91, ""), (92, "the of and")]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("record", F.lit("clash"))
+    found = topics.topic_clusters(df, record="id", body="t", k=2)
+    got = {r.record: r.topic for r in found.collect()}
+    assert set(got) == set(range(80)) and len({got[i] for i in range(0, 80, 2)}) == 1 and got[0] != got[1]
+    terms = topics.topic_terms(df, found, record="id", body="t", n=6).collect()
+    assert {r.term for r in terms if r.topic == got[0]} == set(words[0]) and {r.n_documents for r in terms} == {40}
+    assert topics.topic_clusters(df.limit(20), record="id", body="t").count() == 0

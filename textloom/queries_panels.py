@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import stats, text
-from textloom.operators import html, images, lexical, panels, temporal, timestamps
+from textloom.operators import html, images, lexical, panels, temporal, timestamps, topics
 from textloom.queries_core import QUERIES, SQL, query
 from textloom.queries_tables import _FRAME, _LEMMA
 from textloom.queries_text import _KEY, CONTENT, NODES, TOKS, _keyness, document_readability, tok
-from textloom.runtime import load
+from textloom.runtime import cut_lineage, load
 
 CONTENT_POS = ["NOUN", "PROPN", "ADJ", "VERB", "ADV"]
 
@@ -386,3 +386,26 @@ def tag_examples(spark: SparkSession, d: str) -> DataFrame:
     + ", r as (select e.node, e.collocate, context, row_number() over (partition by e.node, e.collocate order by doc_id, i) as r from e join p on p.node = e.node and p.collocate = e.collocate) select node, collocate, string_agg(context, ' || ' order by r) as examples from r where r <= 3 group by 1, 2")
 def collocation_pair_examples(spark: SparkSession, d: str) -> DataFrame:
     return lexical.collocation_pair_examples(load(spark, d, "documents"), record="doc_id", body="text", nodes=NODES)
+
+
+# ---- topics
+
+
+@query("topic_terms")
+def topic_terms(spark: SparkSession, d: str) -> DataFrame:
+    """English documents in ten topics with their terms."""
+    docs = load(spark, d, "documents").filter("lower(lang) = 'en'")
+    found = topics.topic_clusters(docs, record="doc_id", body="text")
+    return topics.topic_terms(docs, found, record="doc_id", body="text").withColumn("score", F.round("score", 6))
+
+
+@query("topic_stability")
+def topic_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of the topics of three seeds, every pair."""
+    docs = load(spark, d, "documents").filter("lower(lang) = 'en'")
+    by_seed = {s: cut_lineage(topics.topic_clusters(docs, record="doc_id", body="text", seed=s)) for s in (13, 42, 87)}
+    parts = []
+    for a, b in ((13, 42), (13, 87), (42, 87)):
+        j = by_seed[a].withColumnRenamed("topic", "a").join(by_seed[b].withColumnRenamed("topic", "b"), "record")
+        parts.append(stats.adjusted_rand(j, "a", "b").select(F.lit(a).alias("seed_1"), F.lit(b).alias("seed_2"), F.round("ari", 6).alias("ari")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,9 +69,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written() -> None:
-    """Deletes the intermediate tables; results that were planned on them can't be read afterwards."""
-    while _written:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Intermediate tables written inside go at its end: read or write the results before.
+
+    >>> with scratch():
+    ...     linked_records(...).write.parquet(target)
+    """
+    held = len(_written)
+    try:
+        yield
+    finally:
+        drop_written(held)
+
+
+def drop_written(keep: int = 0) -> None:
+    """Deletes the intermediate tables, but for the first ``keep``; results that were planned on them can't be read afterwards."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)

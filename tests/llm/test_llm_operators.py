@@ -220,9 +220,11 @@ def test_links_against_brute_force(spark):
     assert {tuple(r) for r in near_duplicates.linked_records(members, links).collect()} == want
     star = [tuple(r) for r in near_duplicates.linked_records(members, links, copies="star").collect()]
     assert set(star) <= want and len(star) == len(set(star)) and {x for p in star for x in p} == {x for p in want for x in p}
-    in_blocks = near_duplicates.near_duplicates(df, record="id", text="text", block=2)
-    pairs = [tuple(r) for r in near_duplicates.linked_records(*in_blocks, block=2).collect()]
-    assert set(pairs) == want and len(pairs) == len(want)
+    for block in (1, 2, 3):
+        in_blocks = near_duplicates.near_duplicates(df, record="id", text="text", block=block)
+        pairs = [tuple(r) for r in near_duplicates.linked_records(*in_blocks, block=block).collect()]
+        assert set(pairs) == want and len(pairs) == len(want)
+        assert {(r.id_1, r.id_2): round(r.jaccard, 9) for r in in_blocks[1].collect()} == {(r.id_1, r.id_2): round(r.jaccard, 9) for r in links.collect()}
     classes = {r.id: r for r in near_duplicates.classes_with_links(members, links).collect()}
     assert set(classes) == set(texts) and all(texts[r.class_id] == texts[k] for k, r in classes.items())
     empty = near_duplicates.near_duplicates(df.limit(0), record="id", text="text")

@@ -4,9 +4,13 @@ A text is the set of its sequences of consecutive words.  One permutation (sigma
 the hashed sequences over a ring of 2^32 places, a second one (pi), shifted by k places, gives
 coordinate k of the signature: two permutations stand for all coordinates.  Both are bijections
 made of odd multiplications and shifts, so no table is held.  Texts with the same set are one class with
-one representative; only representatives are banded.  A band with more than ``BLOCK`` texts is
-compared block by block, so it is split over tasks.  Pairs that share a band are verified on their
+one representative; only representatives are banded.  Pairs that share a band are verified on their
 whole sets, so nothing that is found is an estimate.
+
+A band with more than ``BLOCK`` texts is cut into blocks, and each pair of blocks is a task's work of its own
+(``hot_links``): a pair counts in the first hot band that its texts share, so it is verified once however many
+bands they share, and the sizes of all intersections of two blocks come from one product of 0-1 matrices; no pair is
+written before it has been verified.
 """
 
 from __future__ import annotations
@@ -106,6 +110,116 @@ def _sets(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+COLUMNS = 8_192  # sequences of a block that are multiplied at once
+
+
+def _aligned(column: pa.ChunkedArray, missing: int) -> np.ndarray:
+    """Hot bands of texts by place, ``missing`` where a band isn't hot."""
+    return np.array([[missing if b is None else b for b in row] for row in column.to_pylist()], dtype=np.int64)
+
+
+def _first_shared(key: tuple, left: pa.Table, right: pa.Table, threshold: float) -> np.ndarray:
+    """Which pairs of two blocks belong to this band: no earlier hot band in common, sizes within the threshold."""
+    at, x, y = (k.as_py() for k in key[1:])
+    a, b = _aligned(left.column("shared"), -1), _aligned(right.column("shared"), -2)
+    mine = np.ones((len(a), len(b)), dtype=bool)
+    for q in range(at):
+        mine &= a[:, q][:, None] != b[:, q][None, :]
+    s1, s2 = (np.array(t.column("size").to_pylist(), dtype=np.int64) for t in (left, right))
+    mine &= np.minimum(s1[:, None], s2[None, :]) >= threshold * np.maximum(s1[:, None], s2[None, :])
+    if x == y:  # one block with itself: each pair once
+        i1, i2 = (np.array(t.column("id").to_pylist(), dtype=object) for t in (left, right))
+        mine &= i1[:, None] < i2[None, :]
+    return mine
+
+
+_GROUP = [("band", pa.int64()), ("at", pa.int32()), ("x", pa.int32()), ("y", pa.int32())]
+NEEDED = "band bigint, at int, x int, y int, id string, is_left boolean"
+
+
+def _needed(threshold: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The texts of a pair of blocks that have a pair to be verified there."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids: list[str] = []
+        sides: list[bool] = []
+        if len(left) and len(right):
+            mine = _first_shared(key, left, right, threshold)
+            for table, any_, is_left in ((left, mine.any(axis=1), True), (right, mine.any(axis=0), False)):
+                found = [i for i, k in zip(table.column("id").to_pylist(), any_) if k]
+                ids += found
+                sides += [is_left] * len(found)
+        columns = [pa.array([k.as_py()] * len(ids), t) for k, (_, t) in zip(key, _GROUP)]
+        return pa.table([*columns, pa.array(ids, pa.string()), pa.array(sides, pa.bool_())], names=[*(n for n, _ in _GROUP), "id", "is_left"])
+
+    return run
+
+
+def _common_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[at] == values
+        return at[hit], owners[hit]
+
+    if len(common):
+        both = [places(x) for x in (left, right)]
+        for lo in range(0, len(common), COLUMNS):
+            parts = []
+            for (at, owners), sets in zip(both, (left, right)):
+                m = np.zeros((len(sets), min(COLUMNS, len(common) - lo)), dtype=np.float32)
+                here = (at >= lo) & (at < lo + COLUMNS)
+                m[owners[here], at[here] - lo] = 1.0
+                parts.append(m)
+            out += parts[0] @ parts[1].T
+    return out
+
+
+def _verified(threshold: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        first, second, values = [], [], np.empty(0)
+        if len(left) and len(right):
+            mine = _first_shared(key, left, right, threshold)
+            sets = [[np.array(v, dtype=np.int64) for v in t.column("shingles").to_pylist()] for t in (left, right)]
+            common = _common_sizes(*sets).astype(np.float64)
+            sizes = [np.array([len(v) for v in x], dtype=np.float64) for x in sets]
+            jaccard = common / (sizes[0][:, None] + sizes[1][None, :] - common)
+            i, j = np.nonzero(mine & (jaccard >= threshold))
+            values = jaccard[i, j]
+            ids = [np.array(t.column("id").to_pylist(), dtype=object) for t in (left, right)]
+            one, two = ids[0][i], ids[1][j]
+            swap = one > two
+            first, second = np.where(swap, two, one), np.where(swap, one, two)
+        return pa.table([pa.array(list(first), pa.string()), pa.array(list(second), pa.string()), pa.array(values, pa.float64())], names=["id_1", "id_2", "jaccard"])
+
+    return run
+
+
+def shared_hot_bands(hot: DataFrame) -> DataFrame:
+    """``id, shared``: the hot bands of each text by their place, null for a band that isn't hot."""
+    by_place = F.map_from_entries(F.collect_list(F.struct("at", "band")))
+    return hot.groupBy("id").agg(by_place.alias("m")).select("id", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.col("m")[i]).alias("shared"))
+
+
+def hot_links(hot: DataFrame, shared: DataFrame, sets: Callable[[DataFrame], DataFrame], *, threshold: float, block: int) -> DataFrame:
+    """``id_1, id_2, jaccard`` of all pairs of ``hot(band, at, id, size, m)`` with a band in common; ``sets`` gives ``id, shingles`` of the wanted ids."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    placed = cut_lineage(hot.join(shared, "id").withColumn("b", F.pmod(F.xxhash64("id"), blocks).cast("int")))
+    group = ["band", "at", "x", "y"]
+    left = placed.select("band", "at", F.col("b").alias("x"), F.explode(F.sequence("b", blocks - 1)).alias("y"), "id", "size", "shared")
+    right = placed.select("band", "at", F.explode(F.sequence(F.lit(0), "b")).alias("x"), F.col("b").alias("y"), "id", "size", "shared")
+    own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731 - columns that are told from those of the other side
+    right = own(right)
+    needed = cut_lineage(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_needed(threshold), NEEDED))
+    texts = cut_lineage(sets(needed.select("id").distinct()).join(placed.select("id", "size", "shared").dropDuplicates(["id"]), "id"))
+    sides = [needed.filter(F.col("is_left") == is_left).drop("is_left").join(texts, "id") for is_left in (True, False)]
+    return sides[0].groupBy(*group).cogroup(own(sides[1]).groupBy(*group)).applyInArrow(_verified(threshold), "id_1 string, id_2 string, jaccard double")
+
+
 def pairs_within(rows: DataFrame, key: str, *, block: int = BLOCK) -> DataFrame:
     """``id_1, id_2, s1, s2`` of all pairs of ``rows(key, id, size)`` with the same key, ``id_1 < id_2``.
 
@@ -144,15 +258,31 @@ def near_duplicates(texts: DataFrame, *, record: str, text: str, width: int = WI
     members = cut_lineage(members)
     first = members.filter("id = representative").select("id", "class")
     reps = signed.join(first, ["id", "class"], "left_semi").dropDuplicates(["id", "class"])
-    # A link needs sizes within the threshold of one another; texts alone in a band drop out.
+    counted = reps.select("id", "size", F.posexplode("bands").alias("at", "band")).withColumn("m", F.count("*").over(Window.partitionBy("band")))
+    counted = cut_lineage(counted.filter("m > 1"))  # texts alone in a band drop out
+    hot = counted.filter(F.col("m") > block)
+    is_hot = not hot.isEmpty()
+    # A link needs sizes within the threshold of one another.
     near = F.least("s1", "s2") >= threshold * F.greatest("s1", "s2")
-    pairs = cut_lineage(pairs_within(reps.select("id", "size", F.explode("bands").alias("band")), "band", block=block).filter(near).select("id_1", "id_2").distinct())
-    wanted = pairs.select(F.col("id_1").alias("id")).unionByName(pairs.select(F.col("id_2").alias("id"))).distinct()
-    sets = slim.dropDuplicates(["id"]).join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id string, shingles array<bigint>")
-    both = pairs.join(sets.select(F.col("id").alias("id_1"), F.col("shingles").alias("x")), "id_1").join(sets.select(F.col("id").alias("id_2"), F.col("shingles").alias("y")), "id_2")
+    few = counted.filter(F.col("m") <= block)
+    left, right = (few.select("band", F.col("id").alias(f"id_{i}"), F.col("size").alias(f"s{i}")) for i in (1, 2))
+    pairs = left.join(right, "band").filter(near & (F.col("id_1") < F.col("id_2"))).select("id_1", "id_2").distinct()
+    if is_hot:  # pairs with a hot band in common are verified there
+        shared = cut_lineage(shared_hot_bands(hot))
+        of = [shared.select(F.col("id").alias(f"id_{i}"), F.array_compact("shared").alias(f"h{i}")) for i in (1, 2)]
+        pairs = pairs.join(of[0], "id_1", "left").join(of[1], "id_2", "left").filter(~F.coalesce(F.arrays_overlap("h1", "h2"), F.lit(False))).select("id_1", "id_2")
+    pairs = cut_lineage(pairs)
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        return slim.dropDuplicates(["id"]).join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id string, shingles array<bigint>")
+
+    found = sets(pairs.select(F.col("id_1").alias("id")).unionByName(pairs.select(F.col("id_2").alias("id"))).distinct())
+    both = pairs.join(found.select(F.col("id").alias("id_1"), F.col("shingles").alias("x")), "id_1").join(found.select(F.col("id").alias("id_2"), F.col("shingles").alias("y")), "id_2")
     common = F.size(F.array_intersect("x", "y"))
     jaccard = common / (F.size("x") + F.size("y") - common)
     links = both.select("id_1", "id_2", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    if is_hot:
+        links = links.unionByName(hot_links(hot, shared, sets, threshold=threshold, block=block))
     return members.drop("class"), links
 
 

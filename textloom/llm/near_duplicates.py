@@ -276,7 +276,7 @@ def near_duplicates(texts: DataFrame, *, record: str, text: str, width: int = WI
     def sets(wanted: DataFrame) -> DataFrame:
         return slim.dropDuplicates(["id"]).join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id string, shingles array<bigint>")
 
-    found = sets(pairs.select(F.col("id_1").alias("id")).unionByName(pairs.select(F.col("id_2").alias("id"))).distinct())
+    found = cut_lineage(sets(pairs.select(F.col("id_1").alias("id")).unionByName(pairs.select(F.col("id_2").alias("id"))).distinct()))  # read for both sides
     both = pairs.join(found.select(F.col("id").alias("id_1"), F.col("shingles").alias("x")), "id_1").join(found.select(F.col("id").alias("id_2"), F.col("shingles").alias("y")), "id_2")
     common = F.size(F.array_intersect("x", "y"))
     jaccard = common / (F.size("x") + F.size("y") - common)

@@ -200,3 +200,17 @@ def test_topics_tell_two_subjects_apart(spark):
     terms = topics.topic_terms(df, found, record="id", body="t", n=6).collect()
     assert {r.term for r in terms if r.topic == got[0]} == set(words[0]) and {r.n_documents for r in terms} == {40}
     assert topics.topic_clusters(df.limit(20), record="id", body="t").count() == 0
+
+
+def test_listings_end_at_empty_pages(spark):
+    rows = [("a", i, n) for i, n in enumerate([3, 0, 1, 0, 0, 5, 0])] + [("b", 0, 0), ("b", 1, 0), ("b", 2, 4), ("c", 0, 1)]
+    df = spark.createDataFrame(rows, "l string, p int, n int")
+    got = {(r.l, r.p) for r in panels.pages_until_empty(df, listing="l", page="p", found="n").collect()}
+    assert got == {("a", i) for i in range(5)} | {("b", 0), ("b", 1), ("c", 0)}
+
+
+def test_scores_as_json(spark):
+    row = spark.createDataFrame([(["x", None, "y"], [0.5, 0.1, None])], "n array<string>, s array<double>")
+    assert row.select(panels.scores_json(F.col("n"), F.col("s"))).first()[0] in ('{"x":0.5,"y":null}', '{"x":0.5}')
+    totals = spark.createDataFrame([("frame_x", 9), ("we", 5), ("legitimation_y", 7), ("us", 6)], "marker string, total int")
+    assert [r.marker for r in panels.without_prefixes(totals).collect()] == ["us", "we"]

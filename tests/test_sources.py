@@ -95,3 +95,11 @@ def test_terms_are_found_whole(spark):
     row = spark.createDataFrame([("So that, in the Court, courtly law was LAW.",), ("nothing",), (None,)], "s string")
     hits = [r[0] for r in row.select(text.lexicon_hits(F.col("s"), ["court", "law", "so that"])).collect()]
     assert hits == [["court", "law", "so that"], [], []] and row.select(text.lexicon_hits(F.col("s"), [])).first()[0] == []
+
+
+def test_parse_errors_and_defaults(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"document_id": "1"}\n{bad\n\n[also\n')
+    row = readers.parse_errors(readers.json_lines(spark, str(tmp_path / "a.jsonl"), SCHEMA, strict=False).cache()).first()
+    assert tuple(row) == (3, 2, ["[also", "{bad"])
+    (tmp_path / "c.json").write_text("[1]")
+    assert readers.json_or_default(str(tmp_path / "c.json"), {}) == [1] and readers.json_or_default(str(tmp_path / "none"), {}) == {}

@@ -297,3 +297,29 @@ def html_escaped(value: Column) -> Column:
     for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(c), F.lit(e))
     return out
+
+
+def without_prefixes(totals: DataFrame, *, name: str = "marker", prefixes: tuple[str, ...] = ("frame_", "legitimation_"), order: list[Column] | None = None, limit: int = 14) -> DataFrame:
+    """The first rows whose name has none of the prefixes."""
+    out = totals
+    for p in prefixes:
+        out = out.filter(~F.col(name).startswith(p))
+    return out.orderBy(*(order or [F.desc("total"), F.col(name)])).limit(limit)
+
+
+def pages_until_empty(pages: DataFrame, *, listing: str, page: str, found: str, empty: int = 2) -> DataFrame:
+    """The pages of each listing up to and including the ``empty``-th page in a row on which nothing was found."""
+    w = Window.partitionBy(listing).orderBy(page)
+    run = F.lit(True)
+    for i in range(empty):
+        run = run & (F.lag(found, i).over(w) == 0)
+    # A stop counts for the pages behind it.
+    stopped = pages.withColumn("_stop", F.coalesce(run, F.lit(False)).cast("int"))
+    before = F.coalesce(F.sum("_stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return stopped.withColumn("_before", before).filter("_before = 0").drop("_stop", "_before")
+
+
+def scores_json(names: Column, scores: Column) -> Column:
+    """Scores by name as a JSON object; null names are left out."""
+    pairs = F.filter(F.arrays_zip(names.alias("n"), scores.alias("s")), lambda x: x["n"].isNotNull())
+    return F.to_json(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["n"], x["s"]))))

@@ -409,3 +409,29 @@ def topic_stability(spark: SparkSession, d: str) -> DataFrame:
         j = by_seed[a].withColumnRenamed("topic", "a").join(by_seed[b].withColumnRenamed("topic", "b"), "record")
         parts.append(stats.adjusted_rand(j, "a", "b").select(F.lit(a).alias("seed_1"), F.lit(b).alias("seed_2"), F.round("ari", 6).alias("ari")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---- listings and markers
+
+
+@query("marker_panel", f"select * from ({SQL['marker_totals']}) where marker not like 'frame\\_%' escape '\\' and marker not like 'legitimation\\_%' escape '\\' order by total desc, marker limit 14")
+def marker_panel(spark: SparkSession, d: str) -> DataFrame:
+    return panels.without_prefixes(QUERIES["marker_totals"](spark, d))
+
+
+@query("image_listing_order", "select image_id, row_number() over (order by coalesce(dom_index, 0), coalesce(position, 0), image_id) as place from (select image_id, min(dom_index) as dom_index, min(position) as position from images group by image_id)")
+def image_listing_order(spark: SparkSession, d: str) -> DataFrame:
+    i = load(spark, d, "images").groupBy("image_id").agg(F.min("dom_index").alias("dom_index"), F.min("position").alias("position"))
+    order = [F.coalesce("dom_index", F.lit(0)), F.coalesce("position", F.lit(0)), F.col("image_id")]
+    return panels.numbered(i, order, "place").select("image_id", "place")
+
+
+_VISITS = "v as (select user_id, cast(ts as date) as day, count(*) filter (where event_type = 'purchase') as n_found from events group by 1, 2)"
+
+
+@query("days_until_no_purchase", f"with {_VISITS}, w as (select *, case when n_found = 0 and lag(n_found) over (partition by user_id order by day) = 0 then 1 else 0 end as stop from v), x as (select *, coalesce(sum(stop) over (partition by user_id order by day rows between unbounded preceding and 1 preceding), 0) as before from w) select user_id, strftime(day, '%Y-%m-%d') as day, n_found from x where before = 0")
+def days_until_no_purchase(spark: SparkSession, d: str) -> DataFrame:
+    """A user's days up to the second in a row without a purchase: the stop rule of listings on the event stream."""
+    v = load(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "purchase").alias("n_found"))
+    out = panels.pages_until_empty(v, listing="user_id", page="day", found="n_found")
+    return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_found")

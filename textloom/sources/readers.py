@@ -138,6 +138,24 @@ def stored_blob_check(records: DataFrame, blobs: DataFrame, *, key: str, digest:
     return j.select("key", F.when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("expected"), "changed").otherwise("ok").alias("status"))
 
 
+def json_or_default(path: str, default: object) -> object:
+    """A small JSON file on the driver, or the default where there is none."""
+    import json
+
+    if not os.path.exists(path):
+        return default
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def parse_errors(tolerant: DataFrame, *, examples: int = 3) -> DataFrame:
+    """``n_rows, n_errors, examples`` of a tolerant read: its lines, those that are no JSON, and the first of these by text."""
+    bad = F.col("_corrupt_record")
+    kept = tolerant.select(bad).withColumn("bad", bad.isNotNull())
+    some = kept.filter("bad").orderBy("_corrupt_record").limit(examples).agg(F.array_sort(F.collect_list("_corrupt_record")).alias("examples")).withColumn("_k", F.lit(1))
+    return kept.agg(F.count("*").alias("n_rows"), F.count_if("bad").alias("n_errors")).withColumn("_k", F.lit(1)).join(F.broadcast(some), "_k").drop("_k")
+
+
 def config(path: str) -> dict:
     """A JSON configuration (YAML where the parser is installed)."""
     import json
